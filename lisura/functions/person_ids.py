@@ -44,7 +44,7 @@ def _check_digit(c: Column, length: int) -> Column:
 def has_raw_person(c: Column) -> Column:
     """A dotted id anywhere, or exactly 11 digits with valid check digits."""
     eleven = c.rlike("^[0-9]{11}$")
-    varied = F.translate(c, F.substring(c, 1, 1), "") != ""
+    varied = F.replace(c, F.substring(c, 1, 1), F.lit("")) != ""
     valid = (F.substring(c, 10, 1).try_cast("int") == _check_digit(c, 9)) & (
         F.substring(c, 11, 1).try_cast("int") == _check_digit(c, 10)
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def column(df: DataFrame, name: str, kind: str = "string") -> Column:
+    """The column if the frame has it, else a typed null."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
 @lru_cache(maxsize=1)
 def _plain_letters() -> tuple[str, str]:
     """Characters whose compatibility decomposition, less marks, is one character."""
@@ -53,11 +58,11 @@ def unaccent(c: Column | str) -> Column:
     """Compatibility-decompose and drop combining marks (case is kept)."""
     c = _col(c)
     wide, plain = _plain_letters()
-    spread = c
+    bare = c
     for ch, text in EXPANSIONS.items():
-        spread = F.replace(spread, F.lit(ch), F.lit(text))
-    spread = F.when(c.rlike("[" + "".join(EXPANSIONS) + "]"), spread).otherwise(c)
-    bare = F.regexp_replace(F.translate(spread, wide, plain), "[\\u0300-\\u036f]", "")
+        bare = F.replace(bare, F.lit(ch), F.lit(text))
+    bare = F.regexp_replace(F.translate(bare, wide, plain), "[\\u0300-\\u036f]", "")
+    # Plain text, the usual case, pays for one pattern test only.
     return F.when(c.rlike("[^\\x00-\\x7f]"), bare).otherwise(c)
 
 
@@ -91,28 +96,18 @@ def company_root(c: Column | str) -> Column:
     return F.when(token != "", F.lpad(token, 8, "0"))
 
 
-def last_index(c: Column, needle: str) -> Column:
-    """1-based position of the last occurrence of one character, 0 if absent."""
-    back = F.instr(F.reverse(c), needle)
-    return F.when(back > 0, F.length(c) - back + 1).otherwise(F.lit(0))
-
-
 NO_NUMBER = ["", "nan", "none", "null", "-"]
 
 
 def parse_decimal(c: Column | str, to: T.DecimalType = MONEY) -> Column:
-    """Decimal from Brazilian or plain notation; null when it is not a number."""
+    """Decimal from Brazilian or plain notation; null when it is not a number.
+
+    The last separator decides: after a comma with no dot behind it, dots are
+    thousands marks; otherwise commas are.
+    """
     s = F.trim(_col(c))
-    no_dots = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    no_commas = F.replace(s, F.lit(","), F.lit(""))
-    comma_last = last_index(s, ",") > last_index(s, ".")
-    plain = (
-        F.when(F.lower(s).isin(NO_NUMBER), F.lit(None))
-        .when(~F.contains(s, F.lit(",")), s)
-        .when(comma_last, no_dots)
-        .otherwise(no_commas)
-    )
-    return plain.try_cast(to)
+    comma_last = s.rlike(",[^.]*$")
+    return F.when(comma_last, F.translate(s, ",.", ".")).otherwise(F.translate(s, ",", "")).try_cast(to)
 
 
 _ISO = "^\\d{4}-\\d{1,2}-\\d{1,2}([T ]\\d{1,2}:\\d{2}(:\\d{2}(\\.\\d+)?)?\\s*(Z|[+-]\\d{2}:?\\d{2})?)?$"
@@ -125,13 +120,8 @@ def parse_timestamp(c: Column | str) -> Column:
 
     Text without a zone is read in the session zone, which is UTC here.
     """
-    s = F.trim(_col(c))
-    iso = (
-        F.when(s.rlike(_ISO), s)
-        .when(s.rlike(_DMY), F.regexp_replace(s, _DMY, "$3-$2-$1$4"))
-        .when(s.rlike(_YMD), F.regexp_replace(s, _YMD, "$1-$2-$3"))
-    )
-    return iso.try_cast("timestamp")
+    s = F.regexp_replace(F.regexp_replace(F.trim(_col(c)), _DMY, "$3-$2-$1$4"), _YMD, "$1-$2-$3")
+    return F.when(s.rlike(_ISO), s).try_cast("timestamp")
 
 
 def parse_date(c: Column | str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lisura.functions import text as X
+from lisura.session import cut_lineage
 
 # Vector size, gram widths and acceptance limits.
 BUCKETS = 4096
@@ -23,47 +24,45 @@ MIN_LEAD = 0.18
 SLACK = 1e-9
 
 
+def _windows(padded: Column, width: int) -> Column:
+    last = F.length(padded) - width + 1
+    starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+    cut = F.transform(starts, lambda i: F.substring(padded, i, F.lit(width)))
+    return F.when(last >= 1, cut).otherwise(F.array().cast("array<string>"))
+
+
 def grams(folded: Column) -> Column:
     """Array of all 3- and 4-character windows of the blank-padded text."""
     padded = F.concat(F.lit(" "), folded, F.lit(" "))
-    parts = []
-    for width in WIDTHS:
-        last = F.length(padded) - width + 1
-        windows = F.transform(
-            F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, w=width: F.substring(padded, i, F.lit(w)))
-        parts.append(F.when(last >= 1, windows).otherwise(F.array().cast("array<string>")))
-    return F.when(folded == "", F.array().cast("array<string>")).otherwise(F.concat(*parts))
+    both = F.concat(*[_windows(padded, w) for w in WIDTHS])
+    return F.when(folded == "", F.array().cast("array<string>")).otherwise(both)
 
 
-def _byte(digest: Column, index: int) -> Column:
-    return F.conv(F.substring(digest, 2 * index + 1, 2), 16, 10).cast("int")
+def _hex(text: Column) -> Column:
+    return F.conv(text, 16, 10).cast("int")
 
 
-def gram_hash(gram: Column) -> tuple[Column, Column]:
-    """(bucket, sign) of one gram from its sha256: low 12 bits little-endian, fifth byte's parity."""
-    digest = F.sha2(gram, 256)
-    bucket = (_byte(digest, 0) + _byte(digest, 1) * 256) % BUCKETS
-    sign = F.when(_byte(digest, 4) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return bucket, sign
+def with_gram_hash(df: DataFrame) -> DataFrame:
+    """Add (bucket, sign) of ``gram``: sha256, low 12 bits little-endian, fifth byte's parity."""
+    d = F.col("_digest")
+    low = _hex(F.concat(F.substring(d, 3, 2), F.substring(d, 1, 2)))
+    odd = _hex(F.substring(d, 10, 1)) % 2
+    return df.withColumn("_digest", F.sha2("gram", 256)).withColumns({
+        "bucket": low % BUCKETS, "sign": F.when(odd == 0, F.lit(1.0)).otherwise(F.lit(-1.0))}).drop("_digest")
 
 
 def bucket_weights(texts: DataFrame, text: str = "folded") -> DataFrame:
     """(text, bucket, tf): signed term frequency per bucket of each distinct text.
 
-    A gram is counted once per text before hashing, and each distinct gram of
-    the whole set is hashed once.
+    Grams are counted per text before hashing, so a repeated gram is hashed once.
     """
     listed = texts.select(F.col(text)).distinct().withColumn("_g", grams(F.col(text)))
     counted = (
         listed.select(text, F.size("_g").alias("_n"), F.explode("_g").alias("gram"))
         .groupBy(text, "_n", "gram").agg(F.count(F.lit(1)).alias("_c"))
     )
-    bucket, sign = gram_hash(F.col("gram"))
-    return (
-        counted.withColumn("bucket", bucket)
-        .groupBy(text, "bucket")
-        .agg(F.sum(sign * F.col("_c") / F.col("_n")).alias("tf"))
-    )
+    return with_gram_hash(counted).groupBy(text, "bucket").agg(
+        F.sum(F.col("sign") * F.col("_c") / F.col("_n")).alias("tf"))
 
 
 def bucket_frequency(catalog_weights: DataFrame, per_entry: DataFrame) -> DataFrame:
@@ -136,7 +135,7 @@ def similar_pairs(queries: DataFrame, entries: DataFrame, limit: float, salt: in
         F.col("folded").alias("q"), "bucket", F.pmod(F.xxhash64("folded"), F.lit(salt)).alias("_s"))
     e = prefix_buckets(entries, limit).select(
         F.col("folded").alias("e"), "bucket",
-        F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("long").alias("_s"))
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("_s"))
     candidates = q.join(e, ["bucket", "_s"]).select("q", "e").distinct()
     scored = (
         candidates.join(queries.select(F.col("folded").alias("q"), F.col("parts").alias("qp")), "q")
@@ -160,6 +159,7 @@ def catalog_entries(catalog: DataFrame) -> DataFrame:
 
 def catalog_vectors(catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, bucket frequency, vector rows) of a catalog."""
+    catalog = cut_lineage(catalog.select("codigo", "descricao", "tipo", *(["seq"] if "seq" in catalog.columns else [])))
     entries = catalog_entries(catalog)
     # Document frequency counts every catalog row, repeated codes included.
     every = catalog.select(X.fold("descricao").alias("folded"), F.trim(F.col("codigo").cast("string")).alias("_c"))
@@ -181,7 +181,7 @@ def nearest_entries(
     for the first place go to the earlier catalog row.
     """
     entries, frequency, entry_rows = catalog_vectors(catalog)
-    asked = queries.select("folded", "kind").where(F.col("folded") != "").distinct()
+    asked = cut_lineage(queries.select("folded", "kind").where(F.col("folded") != "").distinct())
     query_rows = vector_rows(unit_vectors(bucket_weights(asked), frequency))
     limit = min_cosine - min_lead
     pairs = similar_pairs(query_rows, entry_rows, limit)

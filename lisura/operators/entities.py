@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from lisura.functions import identity as I
 from lisura.functions import person_ids as P
 from lisura.functions import text as X
+from lisura.functions.text import column
 from lisura.operators.exclusions import money
-from lisura.operators.flags import column
 from lisura.operators.stats import keep_first, keep_latest
 
 

@@ -70,10 +70,10 @@ def zero_or_negative(items: DataFrame) -> DataFrame:
 
 def peer_key(items: DataFrame) -> Column:
     """``catmat:x``, else ``catser:x``, else ``desc:folded text``; null when none."""
-    desc = F.nullif(X.fold("descricao"), F.lit(""))
+    desc = F.nullif(X.fold(X.column(items, "descricao")), F.lit(""))
     return F.coalesce(
-        F.concat(F.lit("catmat:"), X.blank_to_null("catmat")),
-        F.concat(F.lit("catser:"), X.blank_to_null("catser")),
+        F.concat(F.lit("catmat:"), X.blank_to_null(X.column(items, "catmat"))),
+        F.concat(F.lit("catser:"), X.blank_to_null(X.column(items, "catser"))),
         F.concat(F.lit("desc:"), desc),
     )
 
@@ -104,7 +104,7 @@ def duplicate_rows(items: DataFrame) -> DataFrame:
     first record is a ``min`` aggregate, so a huge group of copies costs one
     row per map task.
     """
-    number = X.blank_to_null("id_compra_item") if "id_compra_item" in items.columns else F.lit(None).cast("string")
+    number = X.blank_to_null(X.column(items, "id_compra_item"))
     key = ["pncp", "item", "q", "u", "t"]
     who = ["rid", "snap", "meth"]
     copies = (
@@ -180,8 +180,8 @@ def catalog_magnitude(items: DataFrame, prices: DataFrame | None = None) -> Data
         "record_id", "pncp_id", "snapshot_id", "methodology_version",
         money("valor_unitario").alias("price"),
         F.coalesce(*own, F.lit(None).cast(X.MONEY)).alias("own_ref"),
-        X.blank_to_null("catmat").alias("catmat"),
-        X.blank_to_null("catser").alias("catser"),
+        X.blank_to_null(X.column(items, "catmat")).alias("catmat"),
+        X.blank_to_null(X.column(items, "catser")).alias("catser"),
     ).where(F.col("price") > 0)
     if prices is None:
         found = base.withColumn("ref", F.col("own_ref"))

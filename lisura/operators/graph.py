@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lisura.functions import person_ids as P
 from lisura.functions import text as X
-from lisura.operators.flags import column
+from lisura.functions.text import column
 from lisura.operators.stats import pairs_within
 
 # Groups with more members than this are written as one hub row per member,
@@ -94,7 +94,7 @@ def shared_members(establishments: DataFrame, partners: DataFrame | None = None)
 
 
 def adjacency_edges(
-    members: DataFrame, snapshot: str = "", version: str = "", dense_above: int = DENSE_ABOVE
+    members: DataFrame, snapshot: str = "", version: str = "", dense_above: int = DENSE_ABOVE, block: int = 2000
 ) -> DataFrame:
     """Undirected company edges, one per (kind, pair), left < right.
 
@@ -105,7 +105,7 @@ def adjacency_edges(
     """
     sized = members.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
     small = members.join(sized.where(F.col("n").between(2, dense_above)).drop("n"), ["kind", "key"], "left_semi")
-    pairs = pairs_within(small, ["kind", "key"], "cnpj", carry=["evidence"]).where(
+    pairs = pairs_within(small, ["kind", "key"], "cnpj", block, ["evidence"]).where(
         F.substring("left.cnpj", 1, 8) != F.substring("right.cnpj", 1, 8))
     return (
         pairs.groupBy("kind", F.col("left.cnpj").alias("leftCnpj"), F.col("right.cnpj").alias("rightCnpj"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lisura.functions import fixed
 from lisura.functions import text as X
 from lisura.operators.classify import description_key, nearest_entries
-from lisura.operators.specs import spec_fields
+from lisura.operators.specs import with_spec_fields
 from lisura.operators.stats import keep_first
 from lisura.operators.units import match_units
+from lisura.session import cut_lineage
 
 
 class Fields:
@@ -126,7 +127,8 @@ def match_catalog(rows: DataFrame, catalog: DataFrame, cache: DataFrame | None =
     is one).  Otherwise the folded text is looked up exactly, materials before
     services, and what is left is scored once per distinct text.
     """
-    asked = rows.select("descricao", "codigo", "tipo").distinct()
+    # The wide rows are read once for their distinct texts; all that follows works on those.
+    asked = cut_lineage(rows.select("descricao", "codigo", "tipo").distinct())
     kind = F.upper(F.substring(F.trim(X.text_or_empty("tipo")), 1, 1))
     keyed = asked.withColumn("kind", kind).withColumn("code", X.blank_to_null("codigo")).withColumn(
         "folded", X.fold("descricao"))
@@ -171,48 +173,73 @@ def price_per_unit(confidence: Column, factor: Column, unit: Column, qty: Column
     return F.when(confidence != "unknown", value).cast(X.MONEY)
 
 
+# Which headers feed each field, first non-empty wins.
+ALIASES = {
+    "orgao_cnpj": ("orgaoentidadecnpj", "orgao_cnpj"),
+    "orgao_razao": ("orgaoentidaderazaosocial", "orgao_razao"),
+    "esfera": ("orgaoentidadeesferaid", "esfera"),
+    "poder": ("orgaoentidadepoderid", "poder"),
+    "uf": ("unidadeorgaoufsigla", "uf"),
+    "municipio_ibge": ("unidadeorgaocodigoibge", "municipio_ibge"),
+    "municipio_nome": ("unidadeorgaomunicipionome", "municipio_nome"),
+    "fornecedor_cnpj": ("codfornecedor", "nifornecedor", "fornecedor_cnpj"),
+    "fornecedor_razao": ("nomefornecedor", "fornecedor_razao"),
+    "pncp_id": ("numerocontrolepncp", "idcontratacaopncp", "pncp_id"),
+    "modalidade": ("modalidadenome", "modalidade"),
+    "modalidade_codigo": ("codigomodalidade", "modalidade_codigo"),
+    "objeto": ("objetocompra", "objeto"),
+    "ano": ("anocomprapncp", "anocompra", "ano"),
+    "valor_homologado": ("valortotalhomologado",),
+    "publicado_em": ("datapublicacaopncp", "datainclusaopncp"),
+    "data_resultado": ("dataresultado", "data_resultado"),
+    "award_date": ("award_date",),
+    "included_on": ("datainclusaopncp",),
+    "descricao": ("descricaodetalhada", "descricao_detalhada", "descricaoresumida", "descricao"),
+    "codigo": ("coditemcatalogo", "codigoitemcatalogo", "coditem"),
+    "material_ou_servico": ("materialouservico",),
+    "quantidade": ("quantidaderesultado", "quantidade"),
+    "unidade_medida": ("unidademedida", "nomeunidademedida", "siglaunidademedida"),
+    "valor_unitario": ("valorunitarioresultado", "valorunitariohomologado", "valorunitario", "valorunitarioestimado"),
+    "valor_total": ("valortotalresultado", "valortotal"),
+    "valor_referencia": ("valor_referencia", "preco_referencia", "valor_referencia_catalogo"),
+    "preco_referencia": ("preco_referencia",),
+    "source": ("source",),
+    "record_id": ("record_id",),
+    "record_hash": ("record_hash",),
+    "id_compra": ("idcompra",),
+    "id_compra_item": ("idcompraitem",),
+}
+NUMBERS = ("valor_homologado", "quantidade", "valor_unitario", "valor_total", "valor_referencia", "preco_referencia")
+
+
 def read_fields(raw: DataFrame, snapshot: Column, version: str) -> DataFrame:
-    """The one projection from landed text columns to typed fields (before lookups)."""
-    f = Fields(raw)
-    day = X.parse_date
-    published = X.parse_timestamp(f("datapublicacaopncp", "datainclusaopncp"))
-    result = day(f("dataresultado", "data_resultado"))
-    award = F.coalesce(day(f("award_date")), result, day(f("datainclusaopncp")))
-    sphere = F.lit("municipal")
-    for token, name in reversed(list(fixed.SPHERES.items())):
-        sphere = F.when(X.fold(f("orgaoentidadeesferaid", "esfera")) == token, name).otherwise(sphere)
-    supplier = X.digits(f("codfornecedor", "nifornecedor", "fornecedor_cnpj"))
-    state = F.upper(f("unidadeorgaoufsigla", "uf"))
-    number = X.parse_decimal
-    return raw.select(
-        F.nullif(X.digits(f("orgaoentidadecnpj", "orgao_cnpj")), F.lit("")).alias("orgao_cnpj"),
-        f("orgaoentidaderazaosocial", "orgao_razao").alias("orgao_razao"), sphere.alias("esfera"),
-        F.coalesce(F.nullif(X.fold(f("orgaoentidadepoderid", "poder")), F.lit("")), F.lit("executivo")).alias("poder"),
-        state.alias("uf"), f("unidadeorgaocodigoibge", "municipio_ibge").alias("municipio_ibge"),
-        f("unidadeorgaomunicipionome", "municipio_nome").alias("municipio_nome"),
-        F.when(F.length(supplier) == 14, supplier).alias("fornecedor_cnpj"),
-        f("nomefornecedor", "fornecedor_razao").alias("_supplier_name"),
-        f("numerocontrolepncp", "idcontratacaopncp", "pncp_id").alias("pncp_id"),
-        f("modalidadenome", "modalidade").alias("modalidade"),
-        f("codigomodalidade", "modalidade_codigo").alias("modalidade_codigo"), f("objetocompra", "objeto").alias("objeto"),
-        F.coalesce(f("anocomprapncp", "anocompra", "ano"), F.year(published).cast("string")).alias("ano"),
-        number(f("valortotalhomologado")).alias("valor_homologado"), published.alias("publicado_em"),
-        result.alias("data_resultado"), award.alias("award_date"),
-        f("descricaodetalhada", "descricao_detalhada", "descricaoresumida", "descricao").alias("descricao"),
-        f("coditemcatalogo", "codigoitemcatalogo", "coditem").alias("codigo"),
-        f("materialouservico").alias("material_ou_servico"),
-        F.coalesce(number(f("quantidaderesultado", "quantidade")), F.lit(0).cast(X.MONEY)).alias("quantidade"),
-        f("unidademedida", "nomeunidademedida", "siglaunidademedida").alias("unidade_medida"),
-        number(f("valorunitarioresultado", "valorunitariohomologado", "valorunitario", "valorunitarioestimado")).alias(
-            "valor_unitario"),
-        number(f("valortotalresultado", "valortotal")).alias("valor_total"),
-        number(f("valor_referencia", "preco_referencia", "valor_referencia_catalogo")).alias("valor_referencia"),
-        number(f("preco_referencia")).alias("preco_referencia"),
-        state.alias("uf_item"), X.quarter_label(published).alias("quarter"), snapshot.alias("snapshot_id"),
-        F.lit(version).alias("methodology_version"), F.coalesce(f("source"), F.lit("compras_gov")).alias("source"),
-        f("record_id").alias("record_id"), f("record_hash").alias("record_hash"), f("idcompra").alias("id_compra"),
-        f("idcompraitem").alias("id_compra_item"),
-    )
+    """Landed text columns to typed fields (before lookups), in two projections.
+
+    Headers are resolved once, on the frame; the first projection picks the
+    text, the second parses each text once.
+    """
+    pick = Fields(raw)
+    texts = raw.select(snapshot.alias("snapshot_id"), *[pick(*names).alias(name) for name, names in ALIASES.items()])
+    spheres = F.create_map(*[F.lit(x) for pair in fixed.SPHERES.items() for x in pair])
+    parsed = texts.withColumns({
+        **{name: X.parse_decimal(name) for name in NUMBERS},
+        "publicado_em": X.parse_timestamp("publicado_em"),
+        "data_resultado": X.parse_date("data_resultado"), "award_date": X.parse_date("award_date"),
+        "included_on": X.parse_date("included_on"),
+        "esfera": F.coalesce(F.try_element_at(spheres, X.fold("esfera")), F.lit("municipal")),
+        "poder": F.coalesce(F.nullif(X.fold("poder"), F.lit("")), F.lit("executivo")),
+        "fornecedor_cnpj": X.digits("fornecedor_cnpj"), "orgao_cnpj": F.nullif(X.digits("orgao_cnpj"), F.lit("")),
+        "uf": F.upper("uf"),
+    })
+    return parsed.withColumns({
+        "award_date": F.coalesce("award_date", "data_resultado", "included_on"),
+        "ano": F.coalesce(F.col("ano"), F.year("publicado_em").cast("string")),
+        "quantidade": F.coalesce(F.col("quantidade"), F.lit(0).cast(X.MONEY)),
+        "fornecedor_cnpj": F.when(F.length("fornecedor_cnpj") == 14, F.col("fornecedor_cnpj")),
+        "_supplier_name": F.col("fornecedor_razao"), "uf_item": F.col("uf"),
+        "quarter": X.quarter_label(F.col("publicado_em")), "methodology_version": F.lit(version),
+        "source": F.coalesce(F.col("source"), F.lit("compras_gov")),
+    }).drop("included_on", "fornecedor_razao")
 
 
 # The item columns, in order.
@@ -237,17 +264,16 @@ def normalize_items(
     texts = rows.select("descricao", "codigo", F.col("material_ou_servico").alias("tipo"))
     codes = match_catalog(texts, catalog, cache)
     units_of = match_units(rows.where(F.col("unidade_medida").isNotNull()), units)
-    specs = rows.select("descricao").where(F.col("descricao").isNotNull()).distinct().withColumn(
-        "spec", spec_fields(F.col("descricao")))
     # Null-safe on the three text columns: absent stays absent.
     marked = {c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("descricao", "codigo")}
     left = rows.withColumns({"_d": marked["descricao"], "_c": marked["codigo"],
                              "_t": F.coalesce(F.concat(F.lit("="), F.col("material_ou_servico")), F.lit("-"))})
-    right = codes.select(
+    specs = ["spec_concentracao", "spec_dosagem", "spec_tamanho"]
+    right = with_spec_fields(codes).select(
         marked["descricao"].alias("_d"), marked["codigo"].alias("_c"),
-        F.coalesce(F.concat(F.lit("="), F.col("tipo")), F.lit("-")).alias("_t"), "catmat", "catser", "catmat_match_quality")
-    joined = left.join(right, ["_d", "_c", "_t"], "left").join(specs, "descricao", "left").join(
-        units_of, "unidade_medida", "left")
+        F.coalesce(F.concat(F.lit("="), F.col("tipo")), F.lit("-")).alias("_t"), "catmat", "catser", "catmat_match_quality",
+        *specs)
+    joined = left.join(right, ["_d", "_c", "_t"], "left").join(units_of, "unidade_medida", "left")
     if registry is None:
         nothing = F.lit(None).cast("string")
         joined = joined.withColumns({"opened_on": F.lit(None).cast("date"), "cnae": nothing, "cnae_secundaria": nothing,
@@ -262,8 +288,7 @@ def normalize_items(
     done = joined.withColumns({
         "unit_parse_confidence": confidence, "unidade_canonica": F.coalesce("unidade_canonica", F.lit("unknown")),
         "base_unit": F.coalesce("base_unit", F.lit("unknown")), "valor_por_unidade_canonica": price,
-        "valor_unitario_base": price, "spec_concentracao": F.col("spec.concentracao"),
-        "spec_dosagem": F.col("spec.dosagem"), "spec_tamanho": F.col("spec.tamanho"),
+        "valor_unitario_base": price,
     })
     return done.select(*ITEM_COLUMNS)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lisura.functions import fixed
 from lisura.functions import text as X
+from lisura.session import cut_lineage
 
 _INNER = "|".join(["un", "und", "unid", "unidade", "unidades", "folha", "folhas", "fl", "fls"])
 _MEASURE_WORDS = sorted((w for _, _, ws in fixed.MEASURES for w in ws.split()), key=len, reverse=True)
@@ -25,38 +26,38 @@ def unit_key(raw: Column) -> Column:
     return F.regexp_replace(X.fold(raw), "[.:;]+$", "")
 
 
-def _measure(word: Column, what: int) -> Column:
-    """Canonical unit (0) or factor (1) of a measure word, null if it is none."""
-    out = F.lit(None).cast("string")
-    for canonical, factor, words in fixed.MEASURES:
-        out = F.when(word.isin(words.split()), F.lit((canonical, factor)[what])).otherwise(out)
-    return out
+def _measures(what: int) -> Column:
+    """Literal map from measure word to canonical unit (0) or factor (1)."""
+    pairs = [(w, row[what]) for row in fixed.MEASURES for w in row[2].split()]
+    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
 
 
-def _structured(key: Column) -> tuple[Column, Column]:
-    """(canonical, factor) read out of texts like "cx c/ 10" or "frasco 20 ml"."""
-    head = F.regexp_extract(key, _PACK, 1)
-    pack_n = X.parse_decimal(F.nullif(F.regexp_extract(key, _PACK, 2), F.lit("")))
-    inner = F.regexp_extract(key, _PACK, 3)
-    qty_n = X.parse_decimal(F.nullif(F.regexp_extract(key, _QUANTITY, 1), F.lit("")))
-    word = F.regexp_extract(key, _QUANTITY, 2)
-    is_pack, is_qty = (head != "") & (pack_n != 0), (word != "") & (qty_n != 0)
-    # A pack pattern with a zero number settles the matter: no unit.
-    dead = (head != "") & (pack_n == 0)
-    sheets = head.isin(fixed.SHEET_WORDS) | inner.isin(fixed.SHEET_WORDS)
-    canonical = (
-        F.when(dead, F.lit(None).cast("string"))
-        .when(is_pack & _measure(inner, 0).isNotNull(), _measure(inner, 0))
-        .when(is_pack & sheets, "folha")
-        .when(is_pack & head.isin(fixed.PACK_OF_UNITS), "un")
-        .when(is_qty, _measure(word, 0))
-    )
-    number = (
-        F.when(is_pack & _measure(inner, 1).isNotNull(), (pack_n * _measure(inner, 1).cast(X.MONEY)).cast(X.MONEY))
-        .when(is_pack & (sheets | head.isin(fixed.PACK_OF_UNITS)), pack_n)
-        .when(is_qty, (qty_n * _measure(word, 1).cast(X.MONEY)).cast(X.MONEY))
-    )
-    return canonical, number
+def _structured(df: DataFrame) -> DataFrame:
+    """Add ``s_c`` and ``s_f``: unit and factor read out of "cx c/ 10" or "frasco 20 ml".
+
+    Built in steps, so each pattern is matched once per text.
+    """
+    key = F.col("key")
+    df = df.withColumns({
+        "_head": F.regexp_extract(key, _PACK, 1), "_pack": F.regexp_extract(key, _PACK, 2),
+        "_inner": F.regexp_extract(key, _PACK, 3), "_qty": F.regexp_extract(key, _QUANTITY, 1),
+        "_word": F.regexp_extract(key, _QUANTITY, 2),
+    })
+    df = df.withColumns({
+        "_pack": X.parse_decimal("_pack"), "_qty": X.parse_decimal("_qty"),
+        "_unit": F.try_element_at(_measures(0), F.when(F.col("_head") != "", F.col("_inner")).otherwise(F.col("_word"))),
+        "_size": F.try_element_at(
+            _measures(1), F.when(F.col("_head") != "", F.col("_inner")).otherwise(F.col("_word"))).cast(X.MONEY),
+    })
+    number = F.when(F.col("_head") != "", F.col("_pack")).otherwise(F.col("_qty"))
+    pack = F.col("_head") != ""
+    sheets = F.col("_head").isin(fixed.SHEET_WORDS) | F.col("_inner").isin(fixed.SHEET_WORDS)
+    counted = F.when(sheets, "folha").when(F.col("_head").isin(fixed.PACK_OF_UNITS), "un")
+    # A zero number settles the matter: no unit.
+    canonical = F.when(number != 0, F.coalesce(F.col("_unit"), F.when(pack, counted)))
+    factor = F.when(F.col("_unit").isNotNull(), (number * F.col("_size")).cast(X.MONEY)).otherwise(number)
+    return df.withColumns({"s_c": canonical, "s_f": factor}).drop(
+        "_head", "_pack", "_inner", "_qty", "_word", "_unit", "_size")
 
 
 def match_units(texts: DataFrame, units: DataFrame | None = None, name: str = "unidade_medida") -> DataFrame:
@@ -66,8 +67,7 @@ def match_units(texts: DataFrame, units: DataFrame | None = None, name: str = "u
     known prefix, else ``unknown``.  Prefixes become an equality join: each
     text lists its own prefixes, so there is no inequality join with the table.
     """
-    given = units is not None
-    units = units if given else fixed.units(texts.sparkSession)
+    units = units if units is not None else fixed.units(texts.sparkSession)
     table = units.select(
         unit_key(F.col("raw")).alias("k"),
         F.struct(
@@ -77,12 +77,11 @@ def match_units(texts: DataFrame, units: DataFrame | None = None, name: str = "u
         table.unionByName(table.withColumn("k", F.replace("k", F.lit(" "), F.lit(""))))
         .groupBy("k").agg(F.max("u").alias("u"))
     )
-    keyed = texts.select(F.col(name)).distinct().withColumn("key", unit_key(F.col(name)))
+    keyed = cut_lineage(texts.select(F.col(name)).distinct()).withColumn("key", unit_key(F.col(name)))
     keyed = keyed.withColumn("tight", F.replace("key", F.lit(" "), F.lit("")))
     exact = keyed.join(known.select(F.col("k").alias("key"), F.col("u").alias("e1")), "key", "left").join(
         known.select(F.col("k").alias("tight"), F.col("u").alias("e2")), "tight", "left")
-    canonical, factor = _structured(F.col("key"))
-    parsed = exact.withColumn("s_c", canonical).withColumn("s_f", factor)
+    parsed = _structured(exact)
     settled = F.coalesce("e1", "e2").isNotNull() | F.col("s_c").isNotNull()
 
     # Prefixes of the key must be followed by a blank, "/" or "x"; prefixes of

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -28,6 +30,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, name: s
         .appName(name)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
     )
     for key, value in SETTINGS.items():
@@ -37,16 +40,24 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, name: s
     return spark
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The cluster's shared folder; in local mode without one, a scratch folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="run-")
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: later steps read the result instead of recomputing it.
 
-    The folder comes from ``spark.checkpoint.dir``; ``fallback_dir`` is used
-    only when the session has none (tests).  Without either, the frame is
-    returned unchanged: lineage is longer but results are the same.
+    Runs a job.  The folder is ``spark.checkpoint.dir``; a cluster without one
+    gets the frame back unchanged, which is slower but gives the same rows.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
-    if not folder:
-        return df
-    spark.sparkContext.setCheckpointDir(folder)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = checkpoint_folder(df.sparkSession)
+        if folder is None:
+            return df
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
