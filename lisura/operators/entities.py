@@ -189,7 +189,7 @@ def ordered_edges(edges: DataFrame, swap: tuple[tuple[str, str], ...] = ()) -> D
     for a, b in pairs:
         cols[a] = F.when(flip, F.col(b)).otherwise(F.col(a))
         cols[b] = F.when(flip, F.col(a)).otherwise(F.col(b))
-    ok = (F.col("leftCnpj") != "") & (F.col("rightCnpj") != "") & (F.col("leftCnpj") != F.col("rightCnpj"))
+    ok = (X.text_or_empty("leftCnpj") != "") & (X.text_or_empty("rightCnpj") != "") & (F.col("leftCnpj") != F.col("rightCnpj"))
     return edges.where(ok).withColumns(cols)
 
 

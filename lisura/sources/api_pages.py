@@ -59,7 +59,7 @@ def contract_rows(contracts: DataFrame, items: DataFrame, results: DataFrame) ->
     keyed = contracts.withColumns({
         "k_cnpj": X.digits("orgaoEntidade.cnpj"), "k_ano": F.col("anoCompra"), "k_seq": F.col("sequencialCompra")})
     key = ["k_cnpj", "k_ano", "k_seq"]
-    with_items = keyed.join(items.drop("valorTotal").withColumn("_vt", items["valorTotal"]), key, "left")
+    with_items = keyed.join(items.withColumnRenamed("valorTotal", "_vt"), key, "left")
     # Results count only for items that say they have one.
     with_items = with_items.withColumn("k_item", F.when(F.lower("temResultado") == "true", F.col("numeroItem")))
     joined = with_items.join(results, [*key, "k_item"], "left")
