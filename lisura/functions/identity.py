@@ -12,16 +12,15 @@ NAMESPACE = "6b1c0a7e-4d2f-4c91-9b3a-0f8e2d17a5c4"
 def name_uuid(name: Column) -> Column:
     """Version-5 uuid text of ``name`` in the fixed namespace."""
     space = F.unhex(F.lit(NAMESPACE.replace("-", "")))
-    h = F.sha1(F.concat(space, F.encode(name, "UTF-8")))
-    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat_ws(
-        "-",
-        F.substring(h, 1, 8),
-        F.substring(h, 9, 4),
-        F.concat(F.lit("5"), F.substring(h, 14, 3)),
-        F.concat(variant, F.substring(h, 18, 3)),
-        F.substring(h, 21, 12),
-    )
+
+    def dashed(h: Column) -> Column:
+        variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(
+            F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"),
+            variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+    # The one-element transform binds the digest, which is then computed once.
+    return F.transform(F.array(F.sha1(F.concat(space, F.encode(name, "UTF-8")))), dashed)[0]
 
 
 def entity_id(kind: str, *parts: Column) -> Column:

@@ -25,15 +25,14 @@ def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     A key holding a third of all rows is therefore spread over as many tasks
     as it has distinct values; the widest group any task sees is the distinct
     values of one bin (4% of the price scale), and for step 2 the bins of one
-    key.
+    key.  Rows with a null key or value are left out.
     """
-    counts = (
-        df.select(*keys, F.col(value).alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", _bin(F.col("_v")))
-    )
+    # The filters a join would infer are written out, so that both uses of
+    # ``counts`` plan to the same exchange and it runs once.
+    rows = df.select(*keys, F.col(value).alias("_v")).withColumn("_b", _bin(F.col("_v")))
+    for c in (*keys, "_v", "_b"):
+        rows = rows.where(F.col(c).isNotNull())
+    counts = rows.groupBy(*keys, "_v", "_b").agg(F.count(F.lit(1)).alias("_n"))
     ordered = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     bins = (
         counts.groupBy(*keys, "_b")

@@ -110,7 +110,7 @@ from {customer}""",
 select lpad(cast(cast(floor(c_custkey / 2) as bigint) as string), 8, '0') as cnpj_basico,
        case when c_custkey % 4 = 0 then '1' else '2' end as identificador_de_socio, concat('Socio ', c_name) as nome_socio,
        case when c_custkey % 4 = 0 then lpad(cast(cast(floor(c_custkey / 20) as bigint) as string), 14, '7')
-            else lpad(cast(cast(floor(c_custkey / 6) as bigint) as string), 11, '1') end as cnpj_cpf_do_socio,
+            else concat('111', lpad(cast(cast(floor(c_custkey / 6) as bigint) as string), 6, '0'), '11') end as cnpj_cpf_do_socio,
        cast(c_nationkey as string) as qualificacao_do_socio
 from {customer}""",
     "v_buyer": """
@@ -157,6 +157,7 @@ from {orders}""",
 }
 
 
+SMALL_FILE = 64 << 20
 NAME = r"{([a-z]\w+)}"
 
 
@@ -189,12 +190,23 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder, self._made = spark, folder.rstrip("/"), {}
 
+    def _spread(self, df: DataFrame, name: str) -> DataFrame:
+        """Spread a small line file that was written as a single row group.
+
+        Such a file is one task whatever the split size.  Files of real size
+        have many row groups and are left as they are.
+        """
+        path = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._folder}/{name}.parquet")
+        fs = path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
+        small = name == "lineitem" and fs.getContentSummary(path).getLength() < SMALL_FILE
+        return df.repartition(self._spark.sparkContext.defaultParallelism) if small else df
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._made:
             if name in TABLES:
-                self._made[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+                self._made[name] = self._spread(self._spark.read.parquet(f"{self._folder}/{name}.parquet"), name)
             else:
                 # Double quotes mark identifiers in the shared text; Spark writes them as backticks.
                 sql = VIEWS[name].replace('"', "`")

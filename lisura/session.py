@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # The JVM does not compile methods above 8,000 bytes; beyond that, smaller
+    # per-operator methods are much faster than one interpreted big one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
