@@ -58,9 +58,11 @@ select record_id, pncp_id, snapshot_id, methodology_version, id_compra_item, des
        cast(5 as decimal(18,6)) as valor_unitario, cast(null as decimal(18,6)) as valor_total
 from {v_item}""",
     "v_limit": """
-select year(d) as year, kind, cast(amount as decimal(18,6)) as amount, 'd1' as decree
-from (select distinct date_trunc('year', l_shipdate) as d from {lineitem}) y
-cross join (select 'compras' as kind, 60000 as amount union all select 'obras' as kind, 110000 as amount) k""",
+select distinct cast(year(l_shipdate) as int) as year, 'compras' as kind, cast(60000 as decimal(18,6)) as amount, 'd1' as decree
+from {lineitem}
+union all
+select distinct cast(year(l_shipdate) as int) as year, 'obras' as kind, cast(110000 as decimal(18,6)) as amount, 'd1' as decree
+from {lineitem}""",
     # Purchases just under a limit, so that runs inside 90 days exist.
     "v_item_band": """
 select record_id, pncp_id, pncp_id as id_compra, uf as orgao_cnpj, codigo_classe, cast(null as string) as catmat,
