@@ -8,16 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lisura.llm import packing, sharding
+from lisura.llm import decontamination, ngram_join, packing, secrets, sharding
 from lisura.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.near_copies(table(spark, folder, "documents"), n=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.interleave(table(spark, folder, "documents"), shards=40)
     return placed.select(
@@ -27,7 +40,9 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_packing, op9_sharding)
+    f.__name__: f for f in (
+        op1_ngram_jaccard_join, op4_packing, op5_secret_scan, op6_decontamination, op9_sharding,
+    )
 }
 ORACLES: dict[str, str] = {}
 
