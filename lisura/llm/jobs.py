@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lisura.llm import decontamination, ngram_join, packing, secrets, sharding
-from lisura.llm.common import table
+from lisura.llm import decontamination, ngram_join, packing, secrets, sharding, stages, toxicity
+from lisura.llm.common import fold, table
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY = stages.VOCABULARY
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,16 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = stages.toxicity_model(docs, table(spark, folder, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -41,7 +51,7 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ngram_jaccard_join, op4_packing, op5_secret_scan, op6_decontamination, op9_sharding,
+        op1_ngram_jaccard_join, op3_toxicity, op4_packing, op5_secret_scan, op6_decontamination, op9_sharding,
     )
 }
 ORACLES: dict[str, str] = {}

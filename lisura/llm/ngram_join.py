@@ -111,8 +111,13 @@ def entries(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(found)).view(np.int64)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells apart rows that share an id; null counts as empty text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id, and once per class and task its entries and sketch."""
+    """One row per document: doc_id, text_hash, n_shingles, class_id, and once per class and task its entries and sketch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen = WordHash(), set()
@@ -131,12 +136,16 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 out.append((len(s), class_id, entries(s, percent), parity_words(s, FILTER_WORDS).view(np.int64)))
             made = pd.DataFrame(out, columns=["n_shingles", "class_id", "entries", "sketch"])
             made["class_id"] = made["class_id"].astype("Int64")
-            made.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
+            for k, name in enumerate(("doc_id", "text_hash")):
+                made.insert(k, name, frame[name].astype("Int64").to_numpy())
             yield made
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"),
+        F.col("text").cast("string").cast("binary").alias("text"),
+    )
     return rows.mapInPandas(
-        run, "doc_id long, n_shingles long, class_id long, entries array<long>, sketch array<long>"
+        run, "doc_id long, text_hash long, n_shingles long, class_id long, entries array<long>, sketch array<long>"
     )
 
 
@@ -310,27 +319,29 @@ class _Join:
 
 
 def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (null: no words), component_id.
+    """One row per document: doc_id, text_hash, n_shingles, class_id, group_id, component_id.
 
     Documents are linked when the Jaccard similarity of their sets of
     ``n``-word shingles is ``percent`` / 100 or more.  ``component_id`` is the
-    smallest doc_id that links reach, the document's own included.
+    smallest doc_id that links reach, the document's own included.  class_id
+    and group_id (one per set of shingles, and per component) are null without
+    words.
     """
     join = _Join(docs, n, percent)
     roots = join.run()
-    classes = join.classes.select("class_id", "doc_id")
+    named = join.classes.select("class_id", "doc_id")
     if roots is None:
-        groups = classes.withColumnRenamed("doc_id", "component_id")
+        named = named.withColumn("group_id", F.col("class_id"))
     else:
-        named = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
-        named = named.withColumn("root", F.coalesce("root", "class_id"))
-        least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        groups = named.join(least, "root").select("class_id", "component_id")
+        named = named.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
+        named = named.withColumn("group_id", F.coalesce("root", "class_id"))
+    least = named.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
+    groups = named.select("class_id", "group_id").join(least, "group_id")
     return (
-        join.rows.select("doc_id", "n_shingles", "class_id")
+        join.rows.select("doc_id", "text_hash", "n_shingles", "class_id")
         .join(groups, "class_id", "left")
         .select(
-            "doc_id", "n_shingles", "class_id",
+            "doc_id", "text_hash", "n_shingles", "class_id", "group_id",
             F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         )
     )
