@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lisura.llm import decontamination, ngram_join, packing, secrets, sharding, stages, toxicity
+from lisura.llm import decontamination, lm_score, ngram_join, packing, secrets, sharding, stages, toxicity
 from lisura.llm.common import fold, table
 
 VOCABULARY = stages.VOCABULARY
@@ -49,9 +49,17 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored = lm_score.score(docs, docs.where(~held_out), ["doc_id"])
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ngram_jaccard_join, op3_toxicity, op4_packing, op5_secret_scan, op6_decontamination, op9_sharding,
+        op1_ngram_jaccard_join, op3_toxicity, op4_packing, op5_secret_scan, op6_decontamination, op9_sharding, op10_lm_score,
     )
 }
 ORACLES: dict[str, str] = {}
