@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lisura.llm import decontamination, lm_score, ngram_join, packing, secrets, sharding, stages, toxicity
+from lisura.llm import block_search, decontamination, lm_score, ngram_join, packing, secrets, sharding, stages, toxicity
 from lisura.llm.common import fold, table
 
 VOCABULARY = stages.VOCABULARY
@@ -19,6 +19,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op2_block_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return block_search.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = stages.toxicity_model(docs, table(spark, folder, "labels"))
@@ -59,7 +64,7 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ngram_jaccard_join, op3_toxicity, op4_packing, op5_secret_scan, op6_decontamination, op9_sharding, op10_lm_score,
+        op1_ngram_jaccard_join, op2_block_search, op3_toxicity, op4_packing, op5_secret_scan, op6_decontamination, op9_sharding, op10_lm_score,
     )
 }
 ORACLES: dict[str, str] = {}
