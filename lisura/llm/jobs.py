@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lisura.llm import block_search, decontamination, lm_score, ngram_join, packing, secrets, sharding, stages, toxicity
+from lisura.llm import block_search, decontamination, lm_score, ngram_join, packing, secrets, sharding, stages, toxicity, url_filter
 from lisura.llm.common import fold, table
 
 VOCABULARY = stages.VOCABULARY
@@ -46,6 +46,21 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+#: The rules of the query.
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, folder, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "host_words", "block_odds")
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.interleave(table(spark, folder, "documents"), shards=40)
     return placed.select(
@@ -64,7 +79,7 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ngram_jaccard_join, op2_block_search, op3_toxicity, op4_packing, op5_secret_scan, op6_decontamination, op9_sharding, op10_lm_score,
+        op1_ngram_jaccard_join, op2_block_search, op3_toxicity, op4_packing, op5_secret_scan, op6_decontamination, op8_url_filter, op9_sharding, op10_lm_score,
     )
 }
 ORACLES: dict[str, str] = {}
