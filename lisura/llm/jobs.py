@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lisura.llm import block_search, decontamination, lm_score, ngram_join, packing, secrets, sharding, stages, toxicity, url_filter
+from lisura.llm import block_search, decontamination, language, lm_score, ngram_join, packing, secrets, sharding, stages, toxicity, url_filter
 from lisura.llm.common import fold, table
 
 VOCABULARY = stages.VOCABULARY
@@ -46,6 +46,21 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents (host: their source; no markup or address) and pages in one judgement."""
+    docs, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    taught = docs.where(fold(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("id"), "text", "lang")
+    languages, model = language.train(taught)
+    none = F.lit(None).cast("string")
+    texts = docs.select(
+        F.lit("documents").alias("table"), "doc_id", F.lit(None).cast("long").alias("page_id"), "text",
+        none.alias("declared"), none.alias("address"), F.concat(F.lit("source "), "source").alias("host"),
+    )
+    raw = language.page_rows(pages).select(
+        F.lit("pages").alias("table"), F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "declared", "address", "host")
+    return language.identify(texts.unionByName(raw), languages, model, ["table", "doc_id", "page_id"])
+
+
 #: The rules of the query.
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -79,7 +94,7 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ngram_jaccard_join, op2_block_search, op3_toxicity, op4_packing, op5_secret_scan, op6_decontamination, op8_url_filter, op9_sharding, op10_lm_score,
+        op1_ngram_jaccard_join, op2_block_search, op3_toxicity, op4_packing, op5_secret_scan, op6_decontamination, op7_language_id, op8_url_filter, op9_sharding, op10_lm_score,
     )
 }
 ORACLES: dict[str, str] = {}
