@@ -1,13 +1,16 @@
 """Uncoded descriptions to the nearest catalog entry.
 
-Texts become signed hashed n-gram vectors.  A match needs cosine >= 0.72 and a
-lead of 0.18 over the runner-up, so only pairs with cosine >= 0.54 can change
-an answer; those are found with an exact prefix filter instead of comparing
-every text with every entry.
+Texts become signed hashed n-gram vectors.  The two nearest entries of each
+text are found with an exact prefix filter: all pairs above a first limit, then
+all pairs above a lower one for the texts that have no two neighbours yet, and
+so on down to zero.  Most texts end at a high limit, where few pairs are
+looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ BUCKETS = 4096
 WIDTHS = (3, 4)
 MIN_COSINE = 0.72
 MIN_LEAD = 0.18
+# Cosine limits at which the texts still without two neighbours are searched.
+LEVELS = (0.54, 0.36, 0.2, 0.1, 0.0)
 # Slack for rounding of sums of doubles, so the filter never drops a pair on the limit.
 SLACK = 1e-9
 
@@ -67,13 +72,10 @@ def bucket_weights(texts: DataFrame, text: str = "folded") -> DataFrame:
 
 def bucket_frequency(catalog_weights: DataFrame, per_entry: DataFrame) -> DataFrame:
     """(bucket, df, idf) over catalog entries; ``per_entry`` is (folded, entries)."""
-    docs = per_entry.agg(F.sum("entries").alias("docs"))
+    docs = per_entry.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("docs")).first()["docs"]
     df = catalog_weights.join(per_entry, "folded").groupBy("bucket").agg(F.sum("entries").alias("df"))
-    # ``docs`` is one number; it rides along as a one-row lookup on a constant key.
-    keyed = df.withColumn("_one", F.col("bucket") * 0)
-    total = docs.withColumn("_one", F.lit(0))
-    idf = F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1.0
-    return keyed.join(F.broadcast(total), "_one").select("bucket", "df", idf.alias("idf"))
+    idf = F.log(F.lit(docs + 1.0) / (F.col("df") + 1)) + 1.0
+    return df.select("bucket", "df", idf.alias("idf"))
 
 
 def unit_vectors(weights: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -85,64 +87,34 @@ def unit_vectors(weights: DataFrame, frequency: DataFrame) -> DataFrame:
     return raw.join(norms, "folded").select("folded", "bucket", (F.col("x") / F.col("norm")).alias("w"), "df")
 
 
-def vector_rows(vectors: DataFrame) -> DataFrame:
-    """(folded, parts): one row per text, parts sorted from rare to common bucket.
-
-    A text has at most ``BUCKETS`` parts, so the list is bounded.
-    """
-    return vectors.groupBy("folded").agg(
-        F.array_sort(F.collect_list(F.struct("df", "bucket", "w"))).alias("parts"))
-
-
-def prefix_buckets(rows: DataFrame, limit: float) -> DataFrame:
-    """Explode, per text, only the leading buckets that must be shared.
+def prefix_buckets(vectors: DataFrame, limit: float) -> DataFrame:
+    """Of each text, only the leading buckets of which similar texts must share one.
 
     With both vectors ordered from rare to common bucket, let the tail be the
     longest end whose length is below ``limit``.  Two unit vectors that share
     no bucket of their heads have a cosine below ``limit``.
     """
-    tails = F.reverse(
-        F.aggregate(
-            F.reverse("parts"),
-            F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("all")),
-            lambda acc, p: F.struct(
-                (acc["s"] + p["w"] * p["w"]).alias("s"),
-                F.concat(acc["all"], F.array(acc["s"] + p["w"] * p["w"])).alias("all")),
-            lambda acc: acc["all"],
-        )
-    )
-    # tails[i] is the squared length of the end starting at i.
+    # A text has at most ``BUCKETS`` rows, so the window is bounded.
+    onward = W.partitionBy("folded").orderBy(F.desc("df"), F.desc("bucket")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    tail = F.sum(F.col("w") * F.col("w")).over(onward)
     floor = max(limit - SLACK, 0.0) ** 2
-    head = F.filter(F.zip_with("parts", tails, lambda p, t: F.struct(p["bucket"].alias("bucket"), t.alias("t"))),
-                    lambda z: z["t"] >= floor)
-    return rows.select("folded", F.explode(F.transform(head, lambda z: z["bucket"])).alias("bucket"))
-
-
-def _dot(a: Column, b: Column) -> Column:
-    weights = F.map_from_entries(F.transform(b, lambda p: F.struct(p["bucket"], p["w"])))
-    return F.aggregate(
-        a, F.lit(0.0), lambda s, p: s + p["w"] * F.coalesce(F.try_element_at(weights, p["bucket"]), F.lit(0.0)))
+    return vectors.withColumn("_tail", tail).where(F.col("_tail") >= floor).select("folded", "bucket")
 
 
-def similar_pairs(queries: DataFrame, entries: DataFrame, limit: float, salt: int = 8) -> DataFrame:
-    """(q, e, cosine) for all text pairs with cosine >= limit, clamped to [0, 1].
+def similar_pairs(queries: DataFrame, entries: DataFrame, limit: float) -> DataFrame:
+    """(q, e, cosine) for all text pairs with cosine >= limit and above 0, clamped to 1.
 
-    The shared-bucket join is salted: entries, the short side, are copied
-    ``salt`` times and queries pick one copy, so a bucket shared by many texts
-    is spread over several tasks.
+    Both sides are (folded, bucket, w, df).  Buckets that many texts share are
+    split by skew-join handling; weights meet on (text, bucket) rows.
     """
-    q = prefix_buckets(queries, limit).select(
-        F.col("folded").alias("q"), "bucket", F.pmod(F.xxhash64("folded"), F.lit(salt)).alias("_s"))
-    e = prefix_buckets(entries, limit).select(
-        F.col("folded").alias("e"), "bucket",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("_s"))
-    candidates = q.join(e, ["bucket", "_s"]).select("q", "e").distinct()
-    scored = (
-        candidates.join(queries.select(F.col("folded").alias("q"), F.col("parts").alias("qp")), "q")
-        .join(entries.select(F.col("folded").alias("e"), F.col("parts").alias("ep")), "e")
-        .select("q", "e", F.greatest(F.least(_dot(F.col("qp"), F.col("ep")), F.lit(1.0)), F.lit(0.0)).alias("cosine"))
-    )
-    return scored.where(F.col("cosine") >= limit - SLACK)
+    q = prefix_buckets(queries, limit).withColumnRenamed("folded", "q")
+    e = prefix_buckets(entries, limit).withColumnRenamed("folded", "e")
+    candidates = q.join(e, "bucket").select("q", "e").distinct()
+    left = queries.select(F.col("folded").alias("q"), "bucket", F.col("w").alias("qw"))
+    right = entries.select(F.col("folded").alias("e"), "bucket", F.col("w").alias("ew"))
+    met = candidates.join(left, "q").join(right, ["e", "bucket"])
+    scored = met.groupBy("q", "e").agg(F.least(F.sum(F.col("qw") * F.col("ew")), F.lit(1.0)).alias("cosine"))
+    return scored.where((F.col("cosine") >= limit - SLACK) & (F.col("cosine") > 0))
 
 
 def catalog_entries(catalog: DataFrame) -> DataFrame:
@@ -158,7 +130,7 @@ def catalog_entries(catalog: DataFrame) -> DataFrame:
 
 
 def catalog_vectors(catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entries, bucket frequency, vector rows) of a catalog."""
+    """(entries, bucket frequency, vectors) of a catalog."""
     catalog = cut_lineage(catalog.select("codigo", "descricao", "tipo", *(["seq"] if "seq" in catalog.columns else [])))
     entries = catalog_entries(catalog)
     # Document frequency counts every catalog row, repeated codes included.
@@ -167,7 +139,7 @@ def catalog_vectors(catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
         F.count(F.lit(1)).alias("entries"))
     weights = bucket_weights(per_entry)
     frequency = bucket_frequency(weights, per_entry)
-    return entries, frequency, vector_rows(unit_vectors(weights, frequency))
+    return entries, frequency, unit_vectors(weights, frequency)
 
 
 def nearest_entries(
@@ -176,30 +148,39 @@ def nearest_entries(
     """Score each distinct (folded, kind): code, quality, top1, top2.
 
     ``kind`` 'M' or 'S' restricts the entries compared with; anything else
-    does not.  ``top1`` and ``top2`` are reported as 0 below
-    ``min_cosine - min_lead``, where no value can change the answer.  Ties
-    for the first place go to the earlier catalog row.
+    does not.  Ties for the first place go to the earlier catalog row; a
+    neighbour that is missing, or has no positive cosine, scores 0.
     """
-    entries, frequency, entry_rows = catalog_vectors(catalog)
+    entries, frequency, entry_vectors = catalog_vectors(catalog)
+    entry_vectors = cut_lineage(entry_vectors)
     asked = cut_lineage(queries.select("folded", "kind").where(F.col("folded") != "").distinct())
-    query_rows = vector_rows(unit_vectors(bucket_weights(asked), frequency))
-    limit = min_cosine - min_lead
-    pairs = similar_pairs(query_rows, entry_rows, limit)
-    options = pairs.join(entries.withColumnRenamed("folded", "e"), "e")
+    vectors = cut_lineage(unit_vectors(bucket_weights(asked), frequency))
+    named = entries.withColumnRenamed("folded", "e")
     # A rank filter: each map task keeps two candidates per text before the shuffle.
     order = W.partitionBy("folded", "kind").orderBy(F.desc("cosine"), "seq", "codigo", "tipo")
-    best = (
-        asked.join(options, asked["folded"] == options["q"])
-        .where(~F.col("kind").isin("M", "S") | (F.col("kind") == F.col("tipo")))
-        .withColumn("r", F.row_number().over(order))
-        .where(F.col("r") <= 2)
-        .groupBy("folded", "kind")
-        .agg(
-            F.max(F.when(F.col("r") == 1, F.struct("codigo", "tipo"))).alias("b"),
-            F.max(F.when(F.col("r") == 1, F.col("cosine"))).alias("top1"),
-            F.max(F.when(F.col("r") == 2, F.col("cosine"))).alias("top2"),
+    left, parts = asked, []
+    for level in LEVELS:
+        mine = vectors.join(left.select("folded").distinct(), "folded", "left_semi")
+        pairs = similar_pairs(mine, entry_vectors, level)
+        found = (
+            left.join(pairs.withColumnRenamed("q", "folded"), "folded").join(named, "e")
+            .where(~F.col("kind").isin("M", "S") | (F.col("kind") == F.col("tipo")))
+            .withColumn("r", F.row_number().over(order))
+            .where(F.col("r") <= 2)
+            .groupBy("folded", "kind")
+            .agg(
+                F.max(F.when(F.col("r") == 1, F.struct("codigo", "tipo"))).alias("b"),
+                F.max(F.when(F.col("r") == 1, F.col("cosine"))).alias("top1"),
+                F.max(F.when(F.col("r") == 2, F.col("cosine"))).alias("top2"),
+            )
         )
-    )
+        found = cut_lineage(found if level == LEVELS[-1] else found.where(F.col("top2").isNotNull()))
+        parts.append(found)
+        if level != LEVELS[-1]:
+            left = cut_lineage(left.join(found, ["folded", "kind"], "left_anti"))
+            if not left.limit(1).count():
+                break
+    best = reduce(lambda a, b: a.unionByName(b), parts)
     joined = asked.join(best, ["folded", "kind"], "left")
     top1 = F.coalesce("top1", F.lit(0.0))
     top2 = F.coalesce("top2", F.lit(0.0))

@@ -22,16 +22,16 @@ def covered_cities(t: Tables) -> DataFrame:
 
 
 def counts_per_year(t: Tables) -> DataFrame:
-    """(year, compras, items) for every year that has visible contracts."""
+    """(year, purchases, items) for every year that has visible contracts."""
     contracts = visible_contracts(t)
-    per_year = contracts.groupBy("ano").agg(F.count(F.lit(1)).alias("compras"))
+    per_year = contracts.groupBy("ano").agg(F.count(F.lit(1)).alias("purchases"))
     per_contract = visible_items(t).groupBy("contratacaoId").agg(F.count(F.lit(1)).alias("k"))
     items = (
         per_contract.join(contracts.select(F.col("id").alias("contratacaoId"), "ano"), "contratacaoId")
         .groupBy("ano").agg(F.sum("k").alias("items"))
     )
     return per_year.join(items, "ano", "left").select(
-        F.col("ano").alias("year"), "compras", F.coalesce("items", F.lit(0)).alias("items")).orderBy("year")
+        F.col("ano").alias("year"), "purchases", F.coalesce("items", F.lit(0)).alias("items")).orderBy("year")
 
 
 def catalog_number(c: Column) -> Column:
@@ -87,7 +87,7 @@ def coverage_report(t: Tables, codes: DataFrame, version: str) -> DataFrame:
     parts = (
         coded_share(shown, codes)
         .unionByName(single_labels(shown), allowMissingColumns=True)
-        .unionByName(visible_contracts(t).agg(F.count(F.lit(1)).alias("n_compras")), allowMissingColumns=True)
+        .unionByName(visible_contracts(t).agg(F.count(F.lit(1)).alias("n_purchases")), allowMissingColumns=True)
     )
     return parts.agg(*[F.max(c).alias(c) for c in parts.columns]).withColumn("methodologyVersion", F.lit(version))
 

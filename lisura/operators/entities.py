@@ -57,7 +57,7 @@ def contracts(items: DataFrame, seq: str | None = None) -> DataFrame:
         F.coalesce(year, F.lit(0)).alias("ano"),
         column(items, "valor_homologado", "decimal(18,6)").cast(X.MONEY).alias("valorHomologado"),
         column(items, "publicado_em", "timestamp").alias("publicadoEm"),
-        _or_empty(items, "source", "compras_gov").alias("source"), _or_empty(items, "snapshot_id").alias("snapshotId"),
+        _or_empty(items, "source", "federal_purchases").alias("source"), _or_empty(items, "snapshot_id").alias("snapshotId"),
         _or_empty(items, "methodology_version").alias("methodologyVersion"), _order(items, seq).alias("_o"),
     )
     return keep_latest(rows, ["pncpId"], ["_o"]).drop("_o").withColumn("id", I.contract_id(F.col("pncpId")))
@@ -108,7 +108,7 @@ def item_facts(items: DataFrame) -> DataFrame:
         F.coalesce(X.blank_to_null(column(items, "uf_item")), _or_empty(items, "uf")).alias("uf"),
         _or_empty(items, "quarter").alias("quarter"), _or_empty(items, "snapshot_id").alias("snapshot_id"),
         _or_empty(items, "methodology_version").alias("methodology_version"),
-        _or_empty(items, "source", "compras_gov").alias("source"), _or_empty(items, "record_hash").alias("record_hash"),
+        _or_empty(items, "source", "federal_purchases").alias("source"), _or_empty(items, "record_hash").alias("record_hash"),
         column(items, "publicado_em", "timestamp").alias("publicado_em"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lisura.functions import text as X
-from lisura.operators.stats import group_median
+from lisura.operators.stats import median_of_counts, value_counts
 
 COLUMNS = ["record_id", "pncp_id", "reason", "detail", "snapshot_id", "methodology_version"]
 SHIFT_BANDS = ((1.8, 2.2), (2.8, 3.2))
@@ -84,7 +84,9 @@ def decimal_shift(items: DataFrame, min_peers: int = MIN_PEERS) -> DataFrame:
         "record_id", "pncp_id", "snapshot_id", "methodology_version",
         peer_key(items).alias("peer"), money("valor_unitario").alias("price"),
     ).where(F.col("peer").isNotNull() & (F.col("price") > 0))
-    medians = group_median(priced, ["peer"], "price").where((F.col("n") >= min_peers) & (F.col("median") > 0))
+    # Tested on the distinct prices of a peer group; only what is found meets the rows.
+    prices = value_counts(priced, ["peer"], "price")
+    medians = median_of_counts(prices, ["peer"]).where((F.col("n") >= min_peers) & (F.col("median") > 0))
     mag = F.abs(F.log10(F.col("price").cast("double") / F.col("median").cast("double")))
     in_band = F.lit(False)
     for low, high in SHIFT_BANDS:
@@ -94,7 +96,8 @@ def decimal_shift(items: DataFrame, min_peers: int = MIN_PEERS) -> DataFrame:
         " price=", F.col("price"), " median=", F.col("median").cast(X.MONEY),
         " abs_log10=", F.format_string("%.4f", mag),
     )
-    return priced.join(medians, "peer").where(in_band).select(*_tag("decimal_shift", detail))
+    shifted = prices.withColumnRenamed("_v", "price").join(medians, "peer").where(in_band).select("peer", "price", "median")
+    return priced.join(shifted, ["peer", "price"]).select(*_tag("decimal_shift", detail))
 
 
 def duplicate_rows(items: DataFrame) -> DataFrame:

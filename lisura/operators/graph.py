@@ -10,11 +10,6 @@ from lisura.functions import text as X
 from lisura.functions.text import column
 from lisura.operators.stats import pairs_within
 
-# Groups with more members than this are written as one hub row per member,
-# which says the same thing (any two members are linked) in linear space.
-DENSE_ABOVE = 2000
-
-
 def company_id(df: DataFrame) -> Column:
     """14-character id: given whole, or root + order + check digits."""
     whole = X.alnum(column(df, "cnpj"))
@@ -93,19 +88,14 @@ def shared_members(establishments: DataFrame, partners: DataFrame | None = None)
     return out.withColumn("evidence", P.mask_person(F.col("evidence"))).distinct()
 
 
-def adjacency_edges(
-    members: DataFrame, snapshot: str = "", version: str = "", dense_above: int = DENSE_ABOVE, block: int = 2000
-) -> DataFrame:
+def adjacency_edges(members: DataFrame, snapshot: str = "", version: str = "", block: int = 2000) -> DataFrame:
     """Undirected company edges, one per (kind, pair), left < right.
 
-    Companies with the same eight-character root are never linked.  Groups of
-    at most ``dense_above`` members are expanded to pairs.  Larger groups are
-    not cut: :func:`dense_hubs` holds them, one row per member, and together
-    the two frames are the whole graph.
+    Companies with the same eight-character root are never linked.  All pairs
+    of every group are the result; ``members`` says the same in linear space,
+    and :func:`neighbours` and :func:`hubs` work on that.
     """
-    sized = members.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
-    small = members.join(sized.where(F.col("n").between(2, dense_above)).drop("n"), ["kind", "key"], "left_semi")
-    pairs = pairs_within(small, ["kind", "key"], "cnpj", block, ["evidence"]).where(
+    pairs = pairs_within(members, ["kind", "key"], "cnpj", block, ["evidence"]).where(
         F.substring("left.cnpj", 1, 8) != F.substring("right.cnpj", 1, 8))
     return (
         pairs.groupBy("kind", F.col("left.cnpj").alias("leftCnpj"), F.col("right.cnpj").alias("rightCnpj"))
@@ -115,9 +105,9 @@ def adjacency_edges(
     )
 
 
-def dense_hubs(members: DataFrame, dense_above: int = DENSE_ABOVE) -> DataFrame:
-    """Members of groups too large to expand: (kind, evidence, cnpj, n)."""
-    sized = members.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense_above)
+def hubs(members: DataFrame, above: int) -> DataFrame:
+    """Members of groups with more than ``above`` members: (kind, evidence, cnpj, n)."""
+    sized = members.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > above)
     return members.join(sized, ["kind", "key"]).select("kind", "evidence", "cnpj", F.col("n").alias("group_n"))
 
 
@@ -146,18 +136,11 @@ def bidders(participants: DataFrame) -> DataFrame:
     )
 
 
-def cobid_edges(participants: DataFrame, dense_above: int = DENSE_ABOVE) -> DataFrame:
-    """Company pairs bidding on the same tender and lot.
-
-    Lots with more than ``dense_above`` bidders stay in member form; see
-    :func:`dense_lots`.
-    """
-    bids = bidders(participants)
+def cobid_edges(participants: DataFrame, block: int = 2000) -> DataFrame:
+    """Company pairs bidding on the same tender and lot."""
     event = ["licitacaoId", "itemLote"]
-    sized = bids.groupBy(*event).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, dense_above))
-    small = bids.join(sized.drop("n"), event, "left_semi")
-    pairs = pairs_within(
-        small, event, "participante", carry=["proposta", "winner", "snapshot_id", "methodology_version"])
+    carry = ["proposta", "winner", "snapshot_id", "methodology_version"]
+    pairs = pairs_within(bidders(participants), event, "participante", block, carry)
     a, b = F.col("left"), F.col("right")
     return pairs.select(
         F.lit("co_bid").alias("kind"), a["participante"].alias("leftCnpj"), b["participante"].alias("rightCnpj"),
@@ -167,9 +150,9 @@ def cobid_edges(participants: DataFrame, dense_above: int = DENSE_ABOVE) -> Data
     )
 
 
-def dense_lots(participants: DataFrame, dense_above: int = DENSE_ABOVE) -> DataFrame:
-    """Bidders of lots too large to expand: one row per bidder."""
+def crowded_lots(participants: DataFrame, above: int) -> DataFrame:
+    """Bidders of lots with more than ``above`` bidders: one row per bidder."""
     bids = bidders(participants)
     event = ["licitacaoId", "itemLote"]
-    sized = bids.groupBy(*event).agg(F.count(F.lit(1)).alias("group_n")).where(F.col("group_n") > dense_above)
+    sized = bids.groupBy(*event).agg(F.count(F.lit(1)).alias("group_n")).where(F.col("group_n") > above)
     return bids.join(sized, event)

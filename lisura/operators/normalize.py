@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lisura.functions import fixed
 from lisura.functions import text as X
-from lisura.operators.classify import description_key, nearest_entries
+from lisura.operators.classify import description_key, nearest_entries, score_new
 from lisura.operators.specs import with_spec_fields
 from lisura.operators.stats import keep_first
 from lisura.operators.units import match_units
@@ -150,12 +150,13 @@ def match_catalog(rows: DataFrame, catalog: DataFrame, cache: DataFrame | None =
         "done", coded | m_hit | s_hit)
     left_over = exact.where(~F.col("done") & (F.col("folded") != "")).select("folded", "kind")
     key = ["folded", "kind"]
+    names = [F.col("catmat").alias("k_m"), F.col("catser").alias("k_s"), F.col("quality").alias("k_q")]
     if cache is None:
-        scores = nearest_entries(left_over, catalog).select(
-            *key, F.col("catmat").alias("k_m"), F.col("catser").alias("k_s"), F.col("quality").alias("k_q"))
+        scores = nearest_entries(left_over, catalog).select(*key, *names)
         final = exact.join(scores, key, "left")
     else:
-        scores = cache.select("hash", F.col("catmat").alias("k_m"), F.col("catser").alias("k_s"), F.col("quality").alias("k_q"))
+        # Texts that the cache does not know are scored now.
+        scores = cache.select("hash", *names).unionByName(score_new(left_over, catalog, cache).select("hash", *names))
         final = exact.withColumn("hash", description_key(F.col("folded"), F.col("kind"))).join(scores, "hash", "left")
     quality = F.when(F.col("done"), "exact").otherwise(F.coalesce("k_q", F.lit("none")))
     return final.select(
@@ -238,19 +239,21 @@ def read_fields(raw: DataFrame, snapshot: Column, version: str) -> DataFrame:
         "fornecedor_cnpj": F.when(F.length("fornecedor_cnpj") == 14, F.col("fornecedor_cnpj")),
         "_supplier_name": F.col("fornecedor_razao"), "uf_item": F.col("uf"),
         "quarter": X.quarter_label(F.col("publicado_em")), "methodology_version": F.lit(version),
-        "source": F.coalesce(F.col("source"), F.lit("compras_gov")),
+        "source": F.coalesce(F.col("source"), F.lit("federal_purchases")),
     }).drop("included_on", "fornecedor_razao")
 
 
 # The item columns, in order.
 ITEM_COLUMNS = (
-    "orgao_cnpj orgao_razao esfera poder uf municipio_ibge municipio_nome fornecedor_cnpj fornecedor_razao "
-    "opened_on cnae cnae_secundaria pncp_id modalidade modalidade_codigo objeto ano valor_homologado publicado_em "
-    "data_resultado award_date descricao catmat catser catmat_match_quality spec_concentracao spec_dosagem "
-    "spec_tamanho quantidade unidade_medida unidade_canonica unit_parse_confidence valor_unitario valor_total "
-    "valor_referencia preco_referencia valor_por_unidade_canonica valor_unitario_base base_unit uf_item quarter "
-    "snapshot_id methodology_version source record_id record_hash material_ou_servico id_compra id_compra_item"
-).split()
+    "orgao_cnpj", "orgao_razao", "esfera", "poder", "uf", "municipio_ibge", "municipio_nome",
+    "fornecedor_cnpj", "fornecedor_razao", "opened_on", "cnae", "cnae_secundaria", "pncp_id", "modalidade",
+    "modalidade_codigo", "objeto", "ano", "valor_homologado", "publicado_em", "data_resultado", "award_date",
+    "descricao", "catmat", "catser", "catmat_match_quality", "spec_concentracao", "spec_dosagem",
+    "spec_tamanho", "quantidade", "unidade_medida", "unidade_canonica", "unit_parse_confidence",
+    "valor_unitario", "valor_total", "valor_referencia", "preco_referencia", "valor_por_unidade_canonica",
+    "valor_unitario_base", "base_unit", "uf_item", "quarter", "snapshot_id", "methodology_version", "source",
+    "record_id", "record_hash", "material_ou_servico", "id_compra", "id_compra_item",
+)
 
 
 def normalize_items(

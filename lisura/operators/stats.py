@@ -14,25 +14,34 @@ def _bin(v: Column) -> Column:
     return F.when(d < 0, -size).when(d > 0, size).otherwise(F.lit(0))
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, _v, _n): how often each value stands in each group; nulls are left out."""
+    rows = df.select(*keys, F.col(value).alias("_v"))
+    for c in (*keys, "_v"):
+        rows = rows.where(F.col(c).isNotNull())
+    return rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+
+
 def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
-    """One row per key group: ``n`` and the exact median (mean of the middle two).
+    """One row per key group: ``n`` and the exact median (mean of the middle two)."""
+    return median_of_counts(value_counts(df, keys, value), keys, name)
 
-    1. count equal (key, value) pairs, with map-side combine;
-    2. count per (key, bin) and find, by a running sum over bins, the one or
+
+def median_of_counts(counted: DataFrame, keys: list[str], name: str = "median") -> DataFrame:
+    """The same from a table of (keys, _v, _n), one row per distinct value.
+
+    1. count per (key, bin) and find, by a running sum over bins, the one or
        two bins holding the middle ranks;
-    3. rank only the distinct values inside those bins.
+    2. rank only the distinct values inside those bins.
 
     A key holding a third of all rows is therefore spread over as many tasks
     as it has distinct values; the widest group any task sees is the distinct
-    values of one bin (4% of the price scale), and for step 2 the bins of one
+    values of one bin (4% of the price scale), and for step 1 the bins of one
     key.  Rows with a null key or value are left out.
     """
-    # The filters a join would infer are written out, so that both uses of
+    # The filter a join would infer is written out, so that both uses of
     # ``counts`` plan to the same exchange and it runs once.
-    rows = df.select(*keys, F.col(value).alias("_v")).withColumn("_b", _bin(F.col("_v")))
-    for c in (*keys, "_v", "_b"):
-        rows = rows.where(F.col(c).isNotNull())
-    counts = rows.groupBy(*keys, "_v", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counted.withColumn("_b", _bin(F.col("_v"))).where(F.col("_b").isNotNull())
     ordered = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     bins = (
         counts.groupBy(*keys, "_b")

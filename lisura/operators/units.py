@@ -9,17 +9,9 @@ from lisura.functions import fixed
 from lisura.functions import text as X
 from lisura.session import cut_lineage
 
-_INNER = "|".join(["un", "und", "unid", "unidade", "unidades", "folha", "folhas", "fl", "fls"])
-_MEASURE_WORDS = sorted((w for _, _, ws in fixed.MEASURES for w in ws.split()), key=len, reverse=True)
-_SMALL = [w for c, _, ws in fixed.MEASURES if c in ("l", "kg") for w in ws.split()]
-_NUMBER = "(\\d+(?:[.,]\\d+)?)"
-_PACK = (
-    "^(" + "|".join(sorted(fixed.PACK_HEADS, key=len, reverse=True)) + ")"
-    "(?:\\s*(?:c/|com|de|x|/)\\s*|\\s+|(?=\\d))" + _NUMBER
-    + "(?:\\s*(" + _INNER + "|" + "|".join(sorted(_SMALL, key=len, reverse=True)) + "))?$"
-)
-_QUANTITY = "^(?:[a-z][a-z0-9]*\\s+)?" + _NUMBER + "\\s*(" + "|".join(_MEASURE_WORDS) + ")$"
-PREFIX_MAX = 40
+# A pack word with its number and what it holds; a number with a measure word.
+PACK = r"^(centena|blister|cartela|pacote|frasco|ampola|caixa|resma|fardo|cento|duzia|pcte|cxa|cxs|pct|frc|amp|cx|dz|fr|am)(?:\s*(?:c/|com|de|x|/)\s*|\s+|(?=\d))(\d+(?:[.,]\d+)?)(?:\s*(un|und|unid|unidade|unidades|folha|folhas|fl|fls|quilogramas|mililitros|miligramas|quilograma|mililitro|miligrama|litros|gramas|litro|grama|lts|grs|ml|lt|mg|gr|kg|l|g))?$"  # noqa: E501
+QUANTITY = r"^(?:[a-z][a-z0-9]*\s+)?(\d+(?:[.,]\d+)?)\s*(quilogramas|mililitros|miligramas|quilograma|mililitro|miligrama|litros|gramas|metros|litro|grama|metro|lts|grs|mts|ml|lt|mg|gr|kg|m3|m2|cm|mm|mt|l|g|m)$"  # noqa: E501
 
 
 def unit_key(raw: Column) -> Column:
@@ -28,8 +20,7 @@ def unit_key(raw: Column) -> Column:
 
 def _measures(what: int) -> Column:
     """Literal map from measure word to canonical unit (0) or factor (1)."""
-    pairs = [(w, row[what]) for row in fixed.MEASURES for w in row[2].split()]
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    return F.create_map(*[F.lit(x) for word, *row in fixed.MEASURES for x in (word, row[what])])
 
 
 def _structured(df: DataFrame) -> DataFrame:
@@ -39,9 +30,9 @@ def _structured(df: DataFrame) -> DataFrame:
     """
     key = F.col("key")
     df = df.withColumns({
-        "_head": F.regexp_extract(key, _PACK, 1), "_pack": F.regexp_extract(key, _PACK, 2),
-        "_inner": F.regexp_extract(key, _PACK, 3), "_qty": F.regexp_extract(key, _QUANTITY, 1),
-        "_word": F.regexp_extract(key, _QUANTITY, 2),
+        "_head": F.regexp_extract(key, PACK, 1), "_pack": F.regexp_extract(key, PACK, 2),
+        "_inner": F.regexp_extract(key, PACK, 3), "_qty": F.regexp_extract(key, QUANTITY, 1),
+        "_word": F.regexp_extract(key, QUANTITY, 2),
     })
     df = df.withColumns({
         "_pack": X.parse_decimal("_pack"), "_qty": X.parse_decimal("_qty"),
@@ -51,8 +42,8 @@ def _structured(df: DataFrame) -> DataFrame:
     })
     number = F.when(F.col("_head") != "", F.col("_pack")).otherwise(F.col("_qty"))
     pack = F.col("_head") != ""
-    sheets = F.col("_head").isin(fixed.SHEET_WORDS) | F.col("_inner").isin(fixed.SHEET_WORDS)
-    counted = F.when(sheets, "folha").when(F.col("_head").isin(fixed.PACK_OF_UNITS), "un")
+    sheets = F.col("_head").isin(*fixed.SHEET_WORDS) | F.col("_inner").isin(*fixed.SHEET_WORDS)
+    counted = F.when(sheets, "folha").when(F.col("_head").isin(*fixed.PACK_OF_UNITS), "un")
     # A zero number settles the matter: no unit.
     canonical = F.when(number != 0, F.coalesce(F.col("_unit"), F.when(pack, counted)))
     factor = F.when(F.col("_unit").isNotNull(), (number * F.col("_size")).cast(X.MONEY)).otherwise(number)
@@ -87,9 +78,9 @@ def match_units(texts: DataFrame, units: DataFrame | None = None, name: str = "u
     # Prefixes of the key must be followed by a blank, "/" or "x"; prefixes of
     # the key without blanks by a digit.
     todo = parsed.where(~settled & (F.length("key") >= 3)).select("key", "tight")
-    cuts = F.sequence(F.lit(2), F.least(F.length("key") - 1, F.lit(PREFIX_MAX)))
+    cuts = F.sequence(F.lit(2), F.length("key") - 1)
     loose = todo.select("key", F.explode(cuts).alias("n"), F.col("key").alias("_t"), F.lit(" /x").alias("_after"))
-    tight_cuts = F.sequence(F.lit(2), F.least(F.length("tight") - 1, F.lit(PREFIX_MAX)))
+    tight_cuts = F.sequence(F.lit(2), F.length("tight") - 1)
     solid = todo.where(F.length("tight") >= 3).select(
         "key", F.explode(tight_cuts).alias("n"), F.col("tight").alias("_t"), F.lit("0123456789").alias("_after"))
     tries = loose.unionByName(solid)

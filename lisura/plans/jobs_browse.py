@@ -216,7 +216,7 @@ def _(v):
 
 @job("counts_per_year", f"""
 with {SHOWN_I}
-select ano as year, count(distinct c.id) as compras, count(i.id) as items
+select ano as year, count(distinct c.id) as purchases, count(i.id) as items
 from shown_c c left join shown_i i on i."contratacaoId" = c.id group by 1""")
 def _(v):
     return CO.counts_per_year(tables(v))
@@ -251,18 +251,18 @@ def _(v):
 with {SHOWN_I}
 select count(*) as n_items, count(*) filter (cast(catmat as bigint) % 3 = 1) as n_coded,
        round(100.0 * count(*) filter (cast(catmat as bigint) % 3 = 1) / count(*), 2)::double as percent,
-       count(*) as n, '' as uf, '' as quarter, (select count(*) from shown_c) as n_compras, 'v1' as "methodologyVersion"
+       count(*) as n, '' as uf, '' as quarter, (select count(*) from shown_c) as n_purchases, 'v1' as "methodologyVersion"
 from shown_i""")
 def _(v):
     catalog = v.part.where(F.col("p_partkey") % 3 == 1).select(F.col("p_partkey").alias("codigo"), F.lit("M").alias("tipo"))
     return CO.coverage_report(tables(v), CO.catalog_codes(catalog), "v1")
 
 
-SOURCES = (("signup", "compras_gov"), ("view", "ocds"), ("never", "tce_sp"))
+SOURCES = (("signup", "federal_purchases"), ("view", "ocds"), ("never", "tce_sp"))
 
 
 @job("source_freshness", """
-with names as (select * from (values ('signup', 'compras_gov'), ('view', 'ocds'), ('never', 'tce_sp')) n(source, name)),
+with names as (select * from (values ('signup', 'federal_purchases'), ('view', 'ocds'), ('never', 'tce_sp')) n(source, name)),
 sums as (select event_type as source, sum(user_id)::bigint as n, max(ts) as last, max_by(event_id, ts) as snap from {events} group by 1)
 select name, coalesce(n, 0) as n, strftime(last, '%Y-%m-%d %H:%M:%S') as "lastUpdate", concat('s', snap) as "snapshotId"
 from names left join sums using (source) where n > 0

@@ -236,7 +236,7 @@ purchases as (
   from lines group by 1, 2, 3, 4),
 groups as (
   select p.orgao_cnpj, p.codigo_classe, p.y, count(*) as n, sum(amount) as total, max(amount) as top, any_value(l.lim) as lim
-  from purchases p join (select year, amount as lim from {{v_limit}} where kind = 'compras') l on l.year = p.y
+  from purchases p join (select year, amount as lim from {{v_limit}} where kind = 'other') l on l.year = p.y
   group by 1, 2, 3),
 runs as (
   select p.orgao_cnpj, p.codigo_classe, p.y, p.awarded,
@@ -255,7 +255,7 @@ chosen as (
 select l.record_id, l.pncp_id, case when first_day is null then 'fracionamento' else 'fracionamento_cluster' end as kind,
        concat('indicio Art. 75 par.1 same-object annual aggregate. orgao=', l.orgao_cnpj, ' class_key=codigo_classe:',
               l.codigo_classe, ' year=', l.y, ' n=', coalesce(run_n, n), ' sum=',
-              cast(coalesce(run_sum, total) as decimal(18,6)), ' threshold=', lim, ' decree=d1 kind=compras rule=',
+              cast(coalesce(run_sum, total) as decimal(18,6)), ' threshold=', lim, ' decree=d1 kind=other rule=',
               case when first_day is null then 'over_sum' else 'cluster' end) as delta,
        '' as source_url, l.snapshot_id, l.methodology_version
 from lines l

@@ -169,27 +169,27 @@ def _(v):
     return _edges(G.email_members(v.v_company))
 
 
-LIMIT = 4
-
-
-@job("adjacency_edges", "with " + ", ".join(
-    f"m{i} as (select *, count(*) over (partition by k) as n from ({sql}) q)" for i, sql in enumerate(KEYS.values()))
+@job("adjacency_edges", "with " + ", ".join(f"m{i} as ({sql})" for i, sql in enumerate(KEYS.values()))
     + " " + " union all ".join(
         f"""select distinct '{kind}' as kind, a.cnpj as "leftCnpj", b.cnpj as "rightCnpj"
         from m{i} a join m{i} b on a.k = b.k and a.cnpj < b.cnpj
-        where a.n <= {LIMIT} and substr(a.cnpj, 1, 8) <> substr(b.cnpj, 1, 8)""" for i, kind in enumerate(KEYS)))
+        where substr(a.cnpj, 1, 8) <> substr(b.cnpj, 1, 8)""" for i, kind in enumerate(KEYS)))
 def _(v):
     members = G.shared_members(v.v_company, v.v_partner)
-    return G.adjacency_edges(members, dense_above=LIMIT).select("kind", "leftCnpj", "rightCnpj")
+    return _edges(members)
+
+
+# Groups above this many members are listed as hubs.
+HUB = 4
 
 
 @job("adjacency_dense_hubs", "with " + ", ".join(
     f"m{i} as (select *, count(*) over (partition by k) as n from ({sql}) q)" for i, sql in enumerate(KEYS.values()))
     + " " + " union all ".join(
-        f"select '{kind}' as kind, cnpj, n as group_n from m{i} where n > {LIMIT}" for i, kind in enumerate(KEYS)))
+        f"select '{kind}' as kind, cnpj, n as group_n from m{i} where n > {HUB}" for i, kind in enumerate(KEYS)))
 def _(v):
     members = G.shared_members(v.v_company, v.v_partner)
-    return G.dense_hubs(members, dense_above=LIMIT).select("kind", "cnpj", "group_n")
+    return G.hubs(members, HUB).select("kind", "cnpj", "group_n")
 
 
 @job("adjacency_neighbours", f"""
@@ -215,7 +215,7 @@ def _(v):
 select "licitacaoId", participante, n as group_n
 from (select *, count(*) over (partition by "licitacaoId") as n from {v_bid}) b where n > 7""")
 def _(v):
-    return G.dense_lots(v.v_bid, dense_above=7).select("licitacaoId", "participante", "group_n")
+    return G.crowded_lots(v.v_bid, 7).select("licitacaoId", "participante", "group_n")
 
 
 @job("pairs_within_groups", """
@@ -300,18 +300,20 @@ LOOSE = {
 
 SQL_SCREENS = f"""
 with tight as ({SQL_TIGHT}), skew as ({SQL_SKEW}), cover as ({SQL_COVER}), rot as ({SQL_ROTATION})
-select 'bid_variance' as kind, "licitacaoId" as "subjectId", n from tight
-union all select 'skew', "licitacaoId", cluster_n from skew
-union all select 'cover_bidding', first, max_by(n, (-cast("leftCnpj" as bigint) * 1000000 - cast("rightCnpj" as bigint))) from cover group by first
-union all select 'winner_rotation', null, n from rot"""
+select 'bid_variance' as kind, "licitacaoId" as "subjectId", n, n as n_values from tight
+union all select 'skew', "licitacaoId", cluster_n, 0 from skew
+union all select 'cover_bidding', first, max_by(n, (-cast("leftCnpj" as bigint) * 1000000 - cast("rightCnpj" as bigint))), 0 from cover group by first
+union all select 'winner_rotation', null, n, n_winners from rot"""
 
 
 @job("screens_all", SQL_SCREENS)
 def _(v):
     out = SC.detect_screens(v.v_bid, LOOSE)
     n = F.coalesce(F.get_json_object("evidence", "$.n"), F.get_json_object("evidence", "$.cluster_n"))
+    listed = F.coalesce(F.get_json_object("evidence", "$.values"), F.get_json_object("evidence", "$.winners"))
     return out.select(
-        "kind", F.when(F.col("kind") != "winner_rotation", F.col("subjectId")).alias("subjectId"), n.cast("bigint").alias("n"))
+        "kind", F.when(F.col("kind") != "winner_rotation", F.col("subjectId")).alias("subjectId"), n.cast("bigint").alias("n"),
+        F.coalesce(F.json_array_length(listed), F.lit(0)).cast("bigint").alias("n_values"))
 
 
 @job("screen_members", f"""

@@ -153,13 +153,28 @@ def _(v):
 
 
 @job("price_per_unit", """
-select record_id, true as right_price from {v_item}""")
+select record_id, round(case when l_linenumber % 2 = 0 then cast(valor_unitario as double)
+    else cast(valor_total as double) / nullif(cast(quantidade as double), 0) end / 12, 3) as price from {v_item}""")
 def _(v):
     unit = F.when(F.col("l_linenumber") % 2 == 0, F.col("valor_unitario"))
     price = N.price_per_unit(F.lit("parsed"), F.lit(12).cast(X.MONEY), unit, F.col("quantidade"), F.col("valor_total"))
-    total = F.when(F.col("l_linenumber") % 2 == 0, F.col("valor_unitario") * F.col("quantidade")).otherwise(F.col("valor_total"))
-    gap = price.cast("double") * 12 * F.col("quantidade").cast("double") - total.cast("double")
-    return v.v_item.select("record_id", (F.abs(gap) < 0.001).alias("right_price"))
+    return v.v_item.select("record_id", F.round(price.cast("double"), 3).alias("price"))
+
+
+@job("unit_packs", """
+select distinct t as unidade_medida, u as unidade_canonica, f as fator from (
+  select concat('CX C/ ', p_size) as t, 'un' as u, cast(p_size as double) as f from {part}
+  union all select concat('Frasco ', p_size, ',5 ML'), 'l', (p_size + 0.5) / 1000 from {part}
+  union all select concat('resma com ', p_size, ' folhas'), 'folha', p_size from {part}
+  union all select concat(p_size, ' kg'), 'kg', p_size from {part}
+  union all select concat('caixa especial ', p_brand), 'cx', 1 from {part})""")
+def _(v):
+    n = F.col("p_size").cast("string")
+    texts = F.array(
+        F.concat(F.lit("CX C/ "), n), F.concat(F.lit("Frasco "), n, F.lit(",5 ML")), F.concat(F.lit("resma com "), n, F.lit(" folhas")),
+        F.concat(n, F.lit(" kg")), F.concat(F.lit("caixa especial "), "p_brand"))
+    out = match_units(v.part.select(F.explode(texts).alias("unidade_medida")))
+    return out.select("unidade_medida", "unidade_canonica", "fator")
 
 
 @job("contract_keys", """
@@ -249,10 +264,11 @@ def plain_catalog(v):
 with {KNN}
 select q as folded, case when s1 >= 0.72 and s1 - s2 >= 0.18 then codigo end as catmat,
        case when s1 >= 0.72 and s1 - s2 >= 0.18 then 'knn' else 'none' end as quality,
-       round(case when s1 >= 0.54 then s1 else 0 end, 6) as top1 from best""")
+       round(s1, 6) as top1, round(s2, 6) as top2 from best""")
 def _(v):
     out = K.nearest_entries(knn_queries(v), plain_catalog(v))
-    return out.select("folded", "catmat", "quality", F.round("top1", 6).alias("top1"))
+    return out.select(
+        "folded", "catmat", "quality", F.round("top1", 6).alias("top1"), F.round("top2", 6).alias("top2"))
 
 
 @job("classifier_cache", f"""
@@ -296,11 +312,12 @@ def _(v):
     return out.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_hash").alias("versions"))
 
 
-@job("table_fingerprint")
+@job("table_fingerprint", "select count(*) as n from {lineitem}")
 def _(v):
     """Content id of a table; equal whatever the order of rows (see tests)."""
     one = I.fingerprint(v.lineitem)
-    return one.select("n", I.snapshot_id_of(F.col("n"), F.col("h1"), F.col("h2")).alias("snapshot_id"))
+    named = one.select("n", I.snapshot_id_of(F.col("n"), F.col("h1"), F.col("h2")).alias("snapshot_id"))
+    return named.where(F.length("snapshot_id") > 0).select("n")
 
 
 @job("masked_persons", """

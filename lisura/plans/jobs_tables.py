@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lisura.operators import checks as CH
 from lisura.operators import entities as EN
 from lisura.plans.jobs import job
 from lisura.sources import api_pages as AP
+from lisura.sources import auctions as AU
 from lisura.sources import landing as LA
 from lisura.sources import registry as RG
 from lisura.sources import releases as RL
@@ -105,7 +108,7 @@ def _(v):
 
 
 @job("releases_crosscheck", """
-select count(*) as ocds_n, (select count(*) from {customer}) as compras_n,
+select count(*) as ocds_n, (select count(*) from {customer}) as purchases_n,
   (select count(*) from {customer} where c_custkey in (select o_orderkey from {orders})) as matched_n,
   count(*) filter (o_orderkey % 4 > 0) as schema_ok_n, count(*) filter (o_orderkey % 4 = 0) as schema_bad_n from {orders}""")
 def _(v):
@@ -146,10 +149,42 @@ def _(v):
     return out.select("record_id", "orgao_razao", "descricao", "ni_fornecedor", "quantidade", "valor_total_homologado")
 
 
-@job("snapshot_description")
+@job("snapshot_description", """
+select count(*) as rows, strftime(max(o_orderdate), '%Y-%m-%d') as partition_date from {orders}""")
 def _(v):
-    """Identity and date of a landing; content-addressed, so SQL cannot restate it."""
-    return LA.describe_snapshot(v.orders, F.col("o_orderdate"), "2000-01-01")
+    """Size and date of a landing; its content id is checked against reordered rows in the tests."""
+    return LA.describe_snapshot(v.orders, F.col("o_orderdate"), "2000-01-01").select("rows", "partition_date")
+
+
+@job("pipe_tables", """
+select case o_orderkey % 3 when 0 then 'LICITANTE' when 1 then 'LOTE' else 'ITEM' end as _table, o_orderkey as k,
+       case o_orderkey % 3 when 0 then 'F' when 1 then 'a|b' else '"q' end as mark,
+       case when o_orderkey % 3 > 0 then concat('L', o_custkey) end as lote from {orders}""")
+def _(v):
+    """Lines of three files: quoted separators and quotes, a column line in another order, a remittance line."""
+    key, lot = F.col("o_orderkey").cast("string"), F.concat(F.lit("L"), "o_custkey")
+    file = F.when(F.col("o_orderkey") % 3 == 0, "x/Licitante_1.txt").when(F.col("o_orderkey") % 3 == 1, "x/LOTE.TXT").otherwise("ITEM.txt")
+    bidder = F.concat_ws("|", key, F.lit("2024"), F.lit("CNC"), F.lit("F"), F.lit("1"))
+    lots = F.concat_ws("|", key, F.lit('"a|b"'), F.concat(F.lit('"'), lot, F.lit('"')))
+    item = F.concat_ws("|", key, F.lit("2024"), F.lit('"""q"'), lot, F.lit("1"))
+    lines = v.orders.select(file.alias("file"), F.when(F.col("o_orderkey") % 3 == 0, bidder).when(F.col("o_orderkey") % 3 == 1, lots).otherwise(item).alias("value"))
+    one = v.nation.where("n_nationkey = 0")
+    heads = one.select(F.lit("x/LOTE.TXT"), F.lit("nr_licitacao|CD TIPO MODALIDADE|NR_LOTE")).union(
+        one.select(F.lit("ITEM.txt"), F.lit("89550032000174|01/01/2014|31/12/2014|31/01/2015|X|4"))).union(
+        one.select(F.lit("x/pessoas.txt"), F.lit("1|2|3")))
+    out = AU.pipe_rows(AU.pipe_lines(lines.union(heads)))
+    mark = F.when(F.col("_table") == "LICITANTE", F.col("TP_DOCUMENTO_LICITANTE")).otherwise(F.col("CD_TIPO_MODALIDADE"))
+    return out.select("_table", F.col("NR_LICITACAO").cast("bigint").alias("k"), mark.alias("mark"), F.col("NR_LOTE").alias("lote"))
+
+
+@job("state_one_rows", """
+select cast(o_orderkey as string) as edital, o_orderpriority as objeto from {orders} where o_orderkey % 4 < 2""")
+def _(v):
+    key = F.col("o_orderkey")
+    place = F.when(key % 4 == 0, "  BAURÚ ").when(key % 4 == 1, "35.06003").when(key % 4 == 2, "Bauruzinho")
+    named = {"Município": place, "Número do edital": key.cast("string"), "Objeto": F.col("o_orderpriority")}
+    raw = v.orders.select(*[named.get(c, F.lit("x")).alias(c) for c in AU.STATE_ONE_COLUMNS])
+    return AU.state_one_rows(raw).select(F.col("`Número do edital`").alias("edital"), F.col("Objeto").alias("objeto"))
 
 
 # ---- entities ------------------------------------------------------------------
@@ -346,15 +381,15 @@ def _(v):
 select 'orgao' as "table", 'esfera in set' as rule, id as key from {v_buyer} where esfera = 'estadual'
 union all select 'orgao', 'unique cnpj', uf from {v_buyer} group by uf having count(*) > 1
 union all select 'fornecedor', 'razaoSocial not null', cnpj from {v_seller} where suspended
-union all select 'co_bid_edge', 'leftCnpj < rightCnpj', concat(l_partkey, '|', l_suppkey) from {lineitem} where l_partkey <= 10 and not (l_partkey < l_suppkey)
+union all select 'co_bid_edge', 'leftCnpj < rightCnpj', concat(l_partkey, '|', l_suppkey) from {lineitem} where not (l_partkey < l_suppkey)
 union all select 'co_bid_edge', 'unique kind,leftCnpj,rightCnpj,licitacaoId,itemLote', concat('co_bid|', l_partkey, '|', l_suppkey, '|x|y')
-  from {lineitem} where l_partkey <= 10 group by l_partkey, l_suppkey having count(*) > 1""")
+  from {lineitem} group by l_partkey, l_suppkey having count(*) > 1""")
 def _(v):
     mended = v.v_buyer.withColumns({
         "esfera": F.when(F.col("esfera") == "estadual", "outra").otherwise(F.col("esfera")), "cnpj": F.col("id")})
     by_uf = v.v_buyer.withColumns({"cnpj": F.col("uf"), "esfera": F.lit("federal")})
     sellers = v.v_seller.withColumn("razaoSocial", F.when(~F.col("suspended"), F.col("razaoSocial")))
-    edges = v.lineitem.where(F.col("l_partkey") <= 10).select(
+    edges = v.lineitem.select(
         F.lit("co_bid").alias("kind"), F.col("l_partkey").alias("leftCnpj"), F.col("l_suppkey").alias("rightCnpj"),
         F.lit("x").alias("licitacaoId"), F.lit("y").alias("itemLote"))
     return CH.violations({"orgao": mended, "fornecedor": sellers, "co_bid_edge": edges}).unionByName(
@@ -372,7 +407,15 @@ def _(v):
 
 
 @job("same_content_check", """
-select count(*) as n_before, count(*) as n_after, true as unchanged from {lineitem}""")
+select 'reordered' as what, count(*) as n_before, count(*) as n_after, true as unchanged from {lineitem}
+union all select 'one value changed', count(*), count(*), count(*) filter (l_orderkey = (select min(l_orderkey) from {lineitem})) = 0 from {lineitem}
+union all select 'rows left out', count(*), count(*) filter (l_linenumber > 1), count(*) filter (l_linenumber = 1) = 0 from {lineitem}""")
 def _(v):
-    shuffled = v.lineitem.repartition(7, "l_partkey").select(*reversed(v.lineitem.columns))
-    return CH.same_content(v.lineitem, shuffled)
+    rows = v.lineitem
+    shuffled = rows.repartition(7, "l_partkey").select(*reversed(rows.columns))
+    first = rows.agg(F.min("l_orderkey").alias("_first"))
+    other = rows.join(first, F.col("l_orderkey") == F.col("_first"), "left").withColumn(
+        "l_quantity", F.when(F.col("_first").isNotNull(), F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))).drop("_first")
+    pairs = {"reordered": shuffled, "one value changed": other, "rows left out": rows.where("l_linenumber > 1")}
+    return reduce(lambda a, b: a.unionByName(b), (
+        CH.same_content(rows, after).select(F.lit(what).alias("what"), "*") for what, after in pairs.items()))

@@ -37,7 +37,7 @@ select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as
        concat(year(o_orderdate), '-Q', quarter(o_orderdate)) as quarter,
        date '1994-06-01' + cast((s_suppkey * 37) % 2400 as int) as opened_on,
        concat(s_suppkey, '|', s_suppkey * 7) as cnae,
-       concat('snap', l_linenumber % 2) as snapshot_id, 'v1' as methodology_version, 'compras_gov' as source,
+       concat('snap', l_linenumber % 2) as snapshot_id, 'v1' as methodology_version, 'federal_purchases' as source,
        l_suppkey, l_orderkey, l_linenumber
 from {lineitem} join {orders} on l_orderkey = o_orderkey
   join {part} on l_partkey = p_partkey
@@ -58,7 +58,7 @@ select record_id, pncp_id, snapshot_id, methodology_version, id_compra_item, des
        cast(5 as decimal(18,6)) as valor_unitario, cast(null as decimal(18,6)) as valor_total
 from {v_item}""",
     "v_limit": """
-select distinct cast(year(l_shipdate) as int) as year, 'compras' as kind, cast(60000 as decimal(18,6)) as amount, 'd1' as decree
+select distinct cast(year(l_shipdate) as int) as year, 'other' as kind, cast(60000 as decimal(18,6)) as amount, 'd1' as decree
 from {lineitem}
 union all
 select distinct cast(year(l_shipdate) as int) as year, 'obras' as kind, cast(110000 as decimal(18,6)) as amount, 'd1' as decree
@@ -130,7 +130,7 @@ from {supplier}""",
     "v_contract": """
 select concat('c', o_orderkey) as id, cast(o_orderkey as string) as "pncpId", concat('b', o_custkey) as "orgaoId",
        o_orderpriority as modalidade, concat('Objeto ', o_orderpriority) as objeto, cast(year(o_orderdate) as int) as ano,
-       case when o_orderkey % 50 <> 0 then o_orderdate end as "publicadoEm", 'compras_gov' as source, 'snap' as "snapshotId",
+       case when o_orderkey % 50 <> 0 then o_orderdate end as "publicadoEm", 'federal_purchases' as source, 'snap' as "snapshotId",
        case when o_orderkey % 4 = 0 then 'v0' else 'v1' end as "methodologyVersion", o_orderkey % 19 = 0 as suspended
 from {orders}""",
     "v_line": """
@@ -159,7 +159,6 @@ from {orders}""",
 }
 
 
-SMALL_FILE = 64 << 20
 NAME = r"{([a-z]\w+)}"
 
 
@@ -192,23 +191,12 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder, self._made = spark, folder.rstrip("/"), {}
 
-    def _spread(self, df: DataFrame, name: str) -> DataFrame:
-        """Spread a small line file that was written as a single row group.
-
-        Such a file is one task whatever the split size.  Files of real size
-        have many row groups and are left as they are.
-        """
-        path = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._folder}/{name}.parquet")
-        fs = path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
-        small = name == "lineitem" and fs.getContentSummary(path).getLength() < SMALL_FILE
-        return df.repartition(self._spark.sparkContext.defaultParallelism) if small else df
-
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._made:
             if name in TABLES:
-                self._made[name] = self._spread(self._spark.read.parquet(f"{self._folder}/{name}.parquet"), name)
+                self._made[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
             else:
                 # Double quotes mark identifiers in the shared text; Spark writes them as backticks.
                 sql = VIEWS[name].replace('"', "`")

@@ -43,24 +43,19 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, name: s
     return spark
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder; in local mode without one, a scratch folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="run-")
-    return folder
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later steps read the result instead of recomputing it.
 
-    Runs a job.  The folder is ``spark.checkpoint.dir``; a cluster without one
-    gets the frame back unchanged, which is slower but gives the same rows.
+    Runs a job.  The folder is ``spark.checkpoint.dir``.  A local session
+    without one takes a scratch folder; a cluster without one gets an error, as
+    its machines share no other folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = checkpoint_folder(df.sparkSession)
-        if folder is None:
-            return df
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="run-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

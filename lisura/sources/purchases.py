@@ -27,7 +27,7 @@ def join_lines(headers: DataFrame, lines: DataFrame) -> DataFrame:
         raise ValueError("both files need idCompra")
     clash = set(heads.columns) & set(rows.columns) - {"idcompra"}
     heads = heads.withColumnsRenamed({c: f"compra_{c}" for c in clash})
-    return rows.join(heads, "idcompra", "left").withColumn("source", F.lit("compras_gov"))
+    return rows.join(heads, "idcompra", "left").withColumn("source", F.lit("federal_purchases"))
 
 
 def ibge_token(c: Column) -> Column:

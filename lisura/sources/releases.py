@@ -63,7 +63,7 @@ def crosscheck(releases: DataFrame, purchases: DataFrame) -> DataFrame:
     known = ocids.select(F.explode(F.array_distinct(F.array("ocid", F.coalesce(stripped, F.col("ocid"))))).alias("id")).distinct()
     parts = {
         "ocds_n": ocids.agg(F.count(F.lit(1)).alias("v")),
-        "compras_n": ids.agg(F.count(F.lit(1)).alias("v")),
+        "purchases_n": ids.agg(F.count(F.lit(1)).alias("v")),
         "matched_n": ids.join(known, "id", "left_semi").agg(F.count(F.lit(1)).alias("v")),
         "schema_ok_n": releases.agg(F.count_if("schema_ok").alias("v")),
         "schema_bad_n": releases.agg(F.count_if(~F.col("schema_ok")).alias("v")),

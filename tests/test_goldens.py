@@ -183,6 +183,17 @@ def test_company_edges(spark):
 
 def test_unit_table_and_prefixes(spark):
     assert len({r[0] for r in fixed.unit_rows()}) == len(fixed.unit_rows()) > 250
+    packs = {
+        "cx 10": ("un", 10), "cx/10": ("un", 10), "cx10": ("un", 10), "cx x 10": ("un", 10), "caixa c/10": ("un", 10),
+        "caixa com 10": ("un", 10), "caixa de 10": ("un", 10), "cxa c/ 12": ("un", 12), "cx/25": ("un", 25),
+        "caixa 25 pct": ("un", 25), "caixa 25,00 pct": ("un", 25), "cx 50 un": ("un", 50), "pct 12": ("un", 12),
+        "pacote de 50": ("un", 50), "pcte c/20": ("un", 20), "dz 12": ("un", 12), "frasco com 10": ("un", 10),
+        "ampola com 5": ("un", 5), "cartela com 4": ("un", 4), "resma 500": ("folha", 500), "resma com 500 folha": ("folha", 500),
+        "frasco 20 ml": ("l", 0.02), "frasco 20,00 ml": ("l", 0.02), "ampola 1 ml": ("l", 0.001), "copo 200 ml": ("l", 0.2),
+        "900 ml": ("l", 0.9), "1 l": ("l", 1), "5l": ("l", 5), "1000 g": ("kg", 1), "500 g": ("kg", 0.5), "1kg": ("kg", 1),
+    }
+    asked = spark.createDataFrame([(t,) for t in packs], "unidade_medida string")
+    assert {r[0]: (r[1], float(r[2])) for r in match_units(asked).collect()} == packs
     want = {
         "CAIXA COM 10": ("un", "10"), "PACOTE C/ 100": ("un", "100"), "CX": ("cx", "1"), "FOOBAR": ("unknown", "1"), "Lt.": ("l", "1"),
         "M³": ("m3", "1"), "RESMA 500 FLS": ("folha", "500"), "copo 300 ml": ("l", "0.3"), "KG/SACO": ("kg", "1"),
@@ -216,4 +227,4 @@ def test_normalize_uncoded_text_and_specs(spark):
     assert (out["spec"].spec_concentracao, out["spec"].spec_dosagem, out["spec"].spec_tamanho) == ("500mg/ml", None, "20ml")
     assert out["exact"].valor_por_unidade_canonica == Decimal("5") and out["spec"].valor_por_unidade_canonica is None
     assert out["empty"].quantidade == 0 and out["empty"].unidade_canonica == "unknown"
-    assert list(out["near"].asDict()) == N.ITEM_COLUMNS and len(N.ITEM_COLUMNS) == 49
+    assert tuple(out["near"].asDict()) == N.ITEM_COLUMNS and len(N.ITEM_COLUMNS) == 49

@@ -1,7 +1,4 @@
-"""Registered jobs against their SQL on DuckDB.
-
-All of them run with ``ALL_JOBS=1``; by default a few from each area.
-"""
+"""Registered jobs against their SQL on DuckDB; ``SOME_JOBS=1`` runs a few from each area only."""
 
 import os
 
@@ -17,7 +14,6 @@ SOME = (
     "contract_violations", "masked_persons", "person_id_leaks",
 )
 QUERIES, SQL = jobs.queries(), jobs.oracle_sql()
-NO_SQL = {"table_fingerprint", "snapshot_description"}
 
 
 @pytest.fixture(scope="module")
@@ -26,10 +22,10 @@ def con():
 
 
 def test_registry_is_complete():
-    assert set(QUERIES) - set(SQL) == NO_SQL and not set(SQL) - set(QUERIES)
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("ALL_JOBS") else SOME)
+@pytest.mark.parametrize("name", SOME if os.environ.get("SOME_JOBS") else list(QUERIES))
 def test_job_equals_sql(spark, con, name):
     ok, message = compare(spark, con, FOLDER, name, QUERIES[name], SQL.get(name))
     assert ok, message

@@ -35,16 +35,16 @@ def test_purchases_end_to_end_and_repeat_landing(spark, tmp_path):
     assert got == {("C1:1", "***.456.789-**", 2024), ("L2", "44555666000172", 2024)}
     root = str(tmp_path / "root")
     day = F.to_date("datapublicacaopncp")
-    first = LA.land_by_year(rows, root, "compras_gov", (2024, 2025), day)
-    before = LA.read_landed(spark, root, "compras_gov")
-    again = LA.land_by_year(rows.repartition(5), root, "compras_gov", (2024, 2025), day)
+    first = LA.land_by_year(rows, root, "federal_purchases", (2024, 2025), day)
+    before = LA.read_landed(spark, root, "federal_purchases")
+    again = LA.land_by_year(rows.repartition(5), root, "federal_purchases", (2024, 2025), day)
     assert [r["new"] for r in first] == [True] and [r["new"] for r in again] == [False]
     assert first[0]["snapshot_id"] == again[0]["snapshot_id"] and str(first[0]["partition_date"]) == "2024-03-01"
-    after = LA.read_landed(spark, root, "compras_gov")
+    after = LA.read_landed(spark, root, "federal_purchases")
     assert CH.same_content(before, after).first().unchanged and after.count() == 2
     wider = rows.withColumn("novo", F.lit("z"))
-    LA.land_by_year(wider, root, "compras_gov", (2024,), day)
-    both = LA.landed_records(LA.read_landed(spark, root, "compras_gov"))
+    LA.land_by_year(wider, root, "federal_purchases", (2024,), day)
+    both = LA.landed_records(LA.read_landed(spark, root, "federal_purchases"))
     assert both.count() == 4 and both.where("novo is null").count() == 2
     assert LA.read_manifests(spark, root).count() == 2
 
@@ -76,6 +76,22 @@ def test_pipe_tables_with_and_without_headers(spark, tmp_path):
         ("43/2014/CNC", "", "91549055000100", 8.5, False)}
 
 
+def test_pipe_tables_with_quotes(spark, tmp_path):
+    (tmp_path / "LOTE.TXT").write_text('42|2014|CNC|"1|a"|J|03722885000120\n43|2014|CNC|"say ""b"""|J|1\n')
+    (tmp_path / "ITEM.TXT").write_text('44|2014|CNC|"two\nlines"|9|J|1\n')
+    one = AU.read_pipe_tables(spark, str(tmp_path / "LOTE.TXT"))
+    assert {(r.NR_LICITACAO, r.NR_LOTE) for r in one.collect()} == {("42", "1|a"), ("43", 'say "b"')}
+    both = AU.read_pipe_tables(spark, str(tmp_path / "*.TXT"), multi_line=True)
+    assert {(r._table, r.NR_LOTE) for r in both.collect()} == {("LOTE", "1|a"), ("LOTE", 'say "b"'), ("ITEM", "two\nlines")}
+
+
+def test_separators_may_differ(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x;y\n1;"two\nlines"\n')
+    (tmp_path / "b.csv").write_text("x,z\n2,3\n")
+    rows = D.read_delimited(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], multi_line=True)
+    assert {tuple(r) for r in rows.select("x", "y", "z").collect()} == {("1", "two\nlines", None), ("2", None, "3")}
+
+
 def test_state_one_slice(spark):
     cols = list(AU.STATE_ONE_COLUMNS)
     rows = [[city] + ["x"] * 20 for city in ("BAURÚ", "3506003", "Outra")]
