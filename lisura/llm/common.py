@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,20 @@ def words(text: Column) -> Column:
 def word_list(text: bytes | None) -> list[bytes]:
     """The same words in Python: ``bytes`` methods fold and split ASCII only."""
     return text.lower().split() if text else []
+
+
+def share(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast hint for a checkpointed frame of at most ``rows`` narrow rows; else the frame, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Texts that a Python worker gets at once: long ones fit into its memory too.
+BATCH_ROWS = "1000"
+
+
+def text_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` over texts, a thousand at a time (a setting of the session, left lower if it is)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= int(BATCH_ROWS):
+        conf.set(name, BATCH_ROWS)
+    return df.mapInPandas(run, schema)

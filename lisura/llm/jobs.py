@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from lisura.llm import block_search, decontamination, language, lm_score, ngram_join, packing, secrets, sharding, stages, toxicity, url_filter
 from lisura.llm.common import fold, table
+from lisura.llm.oracles import ORACLES
 
 VOCABULARY = stages.VOCABULARY
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = ngram_join.near_copies(table(spark, folder, "documents"), n=4, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_block_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,7 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_ngram_jaccard_join, op2_block_search, op3_toxicity, op4_packing, op5_secret_scan, op6_decontamination, op7_language_id, op8_url_filter, op9_sharding, op10_lm_score,
     )
 }
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lisura.llm.common import ascii_lower, checkpoint
+from lisura.llm.common import ascii_lower, checkpoint, text_batches
 
 #: Hashed trigrams; labelled rows of each language; languages of the model, most frequent first.
 BUCKETS, SAMPLE, LANGUAGES = 1 << 15, 2_000, 64
@@ -64,7 +64,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(own)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": own[at]})
 
-    counted = some.select("lang", "text").mapInPandas(run, "lang string, bucket long, n long")
+    counted = text_batches(some.select("lang", "text"), run, "lang string, bucket long, n long")
     table = np.full((len(languages), BUCKETS), 0.5)
     for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         table[languages.index(r["lang"]), r["bucket"]] += r["n"]
@@ -92,7 +92,7 @@ def text_posterior(rows: DataFrame, model: np.ndarray, keep: list[str]) -> DataF
             out["fit"] = fits
             yield out
 
-    return texts.mapInPandas(run, f"{kinds}, fit array<double>")
+    return text_batches(texts, run, f"{kinds}, fit array<double>")
 
 
 def _shares(scores: list[Column]) -> list[Column]:

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lisura.llm.common import text_batches
+
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -185,4 +187,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048) ->
             yield out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, PIECES)
+    return text_batches(rows, run, PIECES)

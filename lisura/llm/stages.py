@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lisura.llm import decontamination, ngram_join, packing, secrets, toxicity
-from lisura.llm.common import fold, table
+from lisura.llm.common import checkpoint, fold, share, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -21,8 +21,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Machine:
     """Trained on the labelled documents whose id is not in the held-out fold."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    teach = texts.where(fold(F.col("id"), 5) != 0).join(known.where(fold(F.col("id"), 5) != 0), "id")
-    return toxicity.train(teach)
+    return toxicity.train(texts.where(fold(F.col("id"), 5) != 0), known.where(fold(F.col("id"), 5) != 0))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -42,15 +41,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     """
     found = ngram_join.near_copies(docs, n=5, percent=80)
     ident = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash")]
-    first = found.where(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.min(F.struct(*ident)).alias("kept"))
-    alone = found.where(F.col("group_id").isNull()).select(*ident)
-    kept = first.select("kept.*").union(alone.distinct())
+    counted = found.groupBy("group_id", *ident).agg(F.count(F.lit(1)).alias("rows"))
+    counted = checkpoint(counted)
+    first = counted.where(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.min(F.struct("none", "id", "text_hash")).alias("kept"))
+    key = ["none", "id", "text_hash"]
+    # What goes, and what stays but stands there more than once, is little; the rest of the rows is not shuffled.
+    kept = first.select("kept.*", F.lit(True).alias("stays"))
+    judged = checkpoint(counted.join(kept, key, "left").select(
+        *key, (F.col("stays").isNull() & F.col("group_id").isNotNull()).alias("goes"), (F.col("rows") > 1).alias("again")))
     rows = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").isNull().alias("none"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), ngram_join.text_hash(F.col("text")).alias("text_hash"),
     )
-    one = rows.join(kept, ["none", "id", "text_hash"], "left_semi").groupBy("none", "id", "text_hash").agg(F.min("row").alias("row"))
-    return one.select("row.*")
+    special = share(checkpoint(judged.where(F.col("goes") | F.col("again")).select(key)))
+    again = share(checkpoint(judged.where(~F.col("goes") & F.col("again")).select(key)))
+    once = rows.join(special, key, "left_anti").select("row")
+    one = rows.join(again, key, "left_semi").groupBy(*key).agg(F.min("row").alias("row")).select("row")
+    return once.unionByName(one).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -58,7 +65,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     found = decontamination.contaminated(
         docs.select("doc_id", "text"), table(spark, folder, "benchmark")
     )
-    hit = found.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")).distinct()
+    hit = share(checkpoint(found.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")).distinct()))
     rows = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").isNull().alias("none"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
