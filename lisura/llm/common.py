@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space and the control characters 9 to 13: everything else is part of a word.
@@ -65,8 +69,19 @@ BATCH_ROWS = "1000"
 
 
 def text_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInPandas`` over texts, a thousand at a time (a setting of the session, left lower if it is)."""
+    """Pandas frames through ``run``, a thousand rows at a time (a setting of the session, left lower if it is).
+
+    Whole numbers keep all their digits, absent ones among them or not: the
+    frames have nullable types, where plain pandas would turn to floats.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= int(BATCH_ROWS):
         conf.set(name, BATCH_ROWS)
-    return df.mapInPandas(run, schema)
+    wanted = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+        for out in run(b.to_pandas(types_mapper=exact.get) for b in batches):
+            yield pa.RecordBatch.from_pandas(out, schema=wanted, preserve_index=False)
+
+    return df.mapInArrow(whole, schema)

@@ -130,10 +130,14 @@ class SumOfSquares:
         return [w for level in self.open for w in level]
 
 
+def frame_of(pieces: list[tuple]) -> pd.DataFrame:
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    return pd.DataFrame({n: pd.array(v, dtype="Int64") for n, v in zip(names, zip(*pieces, strict=True), strict=True)})
+
+
 def pack_partition(frames: Iterator[pd.DataFrame], path: str, end_id: int, size: int, part: int) -> Iterator[pd.DataFrame]:
     """Pack the rows of one partition; sequence ids are unique through ``part``."""
     state, done, next_id = SumOfSquares(size), [], part << 33
-    names = [c.split()[0] for c in PIECES.split(", ")]
     codes = encoder(path)
 
     def close(window: list) -> None:
@@ -157,7 +161,7 @@ def pack_partition(frames: Iterator[pd.DataFrame], path: str, end_id: int, size:
                 if full:
                     close(full)
         if len(done) > 5_000:
-            yield pd.DataFrame(done, columns=names)
+            yield frame_of(done)
             done.clear()
     # What is still open is laid end to end and cut at the window size: one padded window a task at most.
     window, filled = [], 0
@@ -172,7 +176,7 @@ def pack_partition(frames: Iterator[pd.DataFrame], path: str, end_id: int, size:
     if window:
         close(window)
     if done:
-        yield pd.DataFrame(done, columns=names)
+        yield frame_of(done)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048) -> DataFrame:
@@ -182,9 +186,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048) ->
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in pack_partition(frames, vocabulary, end_id, size, TaskContext.get().partitionId()):
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+        yield from pack_partition(frames, vocabulary, end_id, size, TaskContext.get().partitionId())
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return text_batches(rows, run, PIECES)
