@@ -97,8 +97,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13) -> Data
     keyed = items.withColumn("item", F.xxhash64("item_id", "words"))
     keys = _seeds(keyed, sorted(size["short"]), True)
     keys = keys.select("seed", F.col("at").alias("item_at"), "item").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_words(F.col("text")).alias("words"))
-    hits = _seeds(rows, sorted(size["short"]), False).join(share(keys), "seed")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"),
+        text_words(F.col("text")).alias("words"))
+    seeds = _seeds(rows, sorted(size["short"]), False)
+    if small:
+        hits = seeds.join(share(keys), "seed")
+    else:
+        # Seeds travel without their text; only hits meet it again.
+        met = seeds.select("doc_id", "hash", "at", "seed").join(keys, "seed").distinct().alias("m")
+        own = rows.alias("r")
+        same = (F.col("m.hash") == F.col("r.hash")) & F.col("m.doc_id").eqNullSafe(F.col("r.doc_id"))
+        hits = own.join(met, same).select("r.doc_id", "r.words", "m.at", "m.item_at", "m.item")
     # Only the words beside the hit go on, at most 2 * AROUND + 1 of them.
     back = F.least("at", "item_at", F.lit(AROUND))
     hits = hits.select(

@@ -15,7 +15,7 @@ A word outside the classes gets the probability of their class times its
 add-one share of the counts of that class.
 
 Scoring: words among the ``FREQUENT`` most frequent find their counts in a
-table of that size, sent to every task; all other words are joined with the
+table of that size at most, sent to every task; all other words are joined with the
 counts.  The join works on texts, under a 96-bit key, so equal texts in one
 task are scored once.
 
@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lisura.llm.common import checkpoint, word_list, words
+from lisura.llm.common import checkpoint, text_batches, word_list, words
 
 #: Classes of the model; words whose counts are sent to every task.
 CLASSES, FREQUENT = 1_024, 65_536
@@ -76,13 +76,33 @@ def text_keys() -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.crc32(text.cast("binary")).alias("k2")]
 
 
+def most_frequent(counts: DataFrame) -> list:
+    """At most ``FREQUENT`` rows, most frequent first.
+
+    A sorted limit would send that many rows from every partition.  Words are
+    counted per level of frequency instead (64 levels to a doubling), and only
+    the levels that fit as a whole are fetched.
+    """
+    level = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    lowest, held = None, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        held += r["n"]
+        if held > FREQUENT:
+            break
+        lowest = r["level"]
+    if lowest is None:
+        return []
+    return sorted(counts.where(level >= lowest).collect(), key=lambda r: (-r["c"], r["word"]))
+
+
 def count_words(train: DataFrame) -> tuple[DataFrame, Counts]:
     """(word, c) of all training rows, and the bounded summary."""
     listed = train.select(F.explode(words(F.col("text").cast("string"))).alias("word"))
     counts = checkpoint(listed.groupBy("word").agg(F.count(F.lit(1)).alias("c")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = train.count()
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    top = most_frequent(counts)
     return counts, Counts(
         {r["word"].encode(): i for i, r in enumerate(top)}, np.array([r["c"] for r in top], np.int64),
         total["n"] + ends, total["v"] + (ends > 0), ends,
@@ -214,7 +234,7 @@ def train_model(train: DataFrame, counts: Counts) -> Model:
             yield out
 
     texts = train.select(F.col("text").cast("string").cast("binary").alias("text"))
-    fitted = texts.mapInPandas(run, "row long, weight double, " + ", ".join(f"v{i} double" for i in range(width)))
+    fitted = text_batches(texts, run, "row long, weight double, " + ", ".join(f"v{i} double" for i in range(width)))
     mean = fitted.groupBy("row").agg(
         *[(F.sum(F.col(f"v{i}") * F.col("weight")) / F.sum("weight")).alias(f"v{i}") for i in range(width)])
     got = mean.orderBy("row").collect()
@@ -260,8 +280,8 @@ def score(docs: DataFrame, train: DataFrame, keep: list[str]) -> DataFrame:
 
     names = ["k1", "k2", "word", "n", "n_tokens", "n_hot", "logs", "outside", "classes", "n_unknown"]
     texts = docs.select(*text_keys(), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    parts = texts.mapInPandas(
-        run, "k1 long, k2 long, word string, n long, n_tokens long, n_hot long, logs double, outside double, classes double, n_unknown long"
+    parts = text_batches(
+        texts, run, "k1 long, k2 long, word string, n long, n_tokens long, n_hot long, logs double, outside double, classes double, n_unknown long"
     )
     # Words outside the sent table: their counts come from the join; 0 for words that training has not seen.
     c = F.coalesce("c", F.lit(0))
