@@ -18,6 +18,8 @@ as null; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,24 +44,29 @@ def _seed(words: Column, at: Column, places: list[int], name: int) -> Column:
     return F.xxhash64(F.lit(name), *[F.get(words, at + k) for k in places])
 
 
-def _seeds(rows: DataFrame, lengths: list[int], own_length: bool) -> DataFrame:
+def _seeds(rows: DataFrame, lengths: list[int], own_length: bool) -> list[DataFrame]:
     """Every (seed, at) of ``words``: one per mask and place, and whole runs of the lengths of short items.
 
     ``own_length``: a run must be the row's whole text (the benchmark's side).
+    The frames are to be narrowed or joined before they are stacked: a row of
+    each place of a long text would otherwise be held with all its words.
     """
     places = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
     n = F.size("words")
     masked = F.array(*[_seed(F.col("words"), F.col("at"), p, k) for k, p in enumerate(places)])
     every = rows.where(n >= SPAN).withColumn("at", F.explode(F.sequence(F.lit(0), n - SPAN)))
-    found = every.withColumn("seed", F.explode(masked))
+    found = [every.withColumn("seed", F.explode(masked))]
     for length in lengths:
         fits = rows.where(n == length if own_length else n >= length)
         runs = fits.withColumn("at", F.explode(F.sequence(F.lit(0), n - length)))
-        found = found.unionByName(
-            runs.withColumn("seed", _seed(F.col("words"), F.col("at"), list(range(length)), 100 + length)))
+        found.append(runs.withColumn("seed", _seed(F.col("words"), F.col("at"), list(range(length)), 100 + length)))
     return found
 
 
+def _stacked(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
 def _best_run(flags: Column) -> Column:
     """(matched, words) of the run of aligned words with the highest score."""
     zero = "cast(0 as int)"
@@ -95,17 +102,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13) -> Data
     small = size["seeds"] <= SMALL_SEEDS and size["chars"] <= SMALL_CHARS
     share = F.broadcast if small else (lambda df: df)
     keyed = items.withColumn("item", F.xxhash64("item_id", "words"))
-    keys = _seeds(keyed, sorted(size["short"]), True)
-    keys = keys.select("seed", F.col("at").alias("item_at"), "item").distinct()
+    keys = [k.select("seed", F.col("at").alias("item_at"), "item") for k in _seeds(keyed, sorted(size["short"]), True)]
+    keys = _stacked(keys).distinct()
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"),
         text_words(F.col("text")).alias("words"))
     seeds = _seeds(rows, sorted(size["short"]), False)
     if small:
-        hits = seeds.join(share(keys), "seed")
+        hits = _stacked([s.join(share(keys), "seed") for s in seeds])
     else:
         # Seeds travel without their text; only hits meet it again.
-        met = seeds.select("doc_id", "hash", "at", "seed").join(keys, "seed").distinct().alias("m")
+        narrow = _stacked([s.select("doc_id", "hash", "at", "seed") for s in seeds])
+        met = narrow.join(keys, "seed").distinct().alias("m")
         own = rows.alias("r")
         same = (F.col("m.hash") == F.col("r.hash")) & F.col("m.doc_id").eqNullSafe(F.col("r.doc_id"))
         hits = own.join(met, same).select("r.doc_id", "r.words", "m.at", "m.item_at", "m.item")
