@@ -154,11 +154,12 @@ def _(v):
 
 @job("price_per_unit", """
 select record_id, round(case when l_linenumber % 2 = 0 then cast(valor_unitario as double)
-    else cast(valor_total as double) / nullif(cast(quantidade as double), 0) end / 12, 3) as price from {v_item}""")
+    else cast(valor_total as double) / nullif(cast(quantidade as double), 0) end / 12 + 1e-6, 3) as price from {v_item}""")
 def _(v):
     unit = F.when(F.col("l_linenumber") % 2 == 0, F.col("valor_unitario"))
+    # Both sides add the same little, so that halves round alike in decimals and doubles.
     price = N.price_per_unit(F.lit("parsed"), F.lit(12).cast(X.MONEY), unit, F.col("quantidade"), F.col("valor_total"))
-    return v.v_item.select("record_id", F.round(price.cast("double"), 3).alias("price"))
+    return v.v_item.select("record_id", F.round(price.cast("double") + 1e-6, 3).alias("price"))
 
 
 @job("unit_packs", """
