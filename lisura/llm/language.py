@@ -147,7 +147,10 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keep: lis
         none = F.lit(None)
         return rows.select(*keep, none.cast("string").alias("language"), none.cast("double").alias("probability"),
                            none.cast("string").alias("by_text"))
-    own = [*keep, "declared", "address", "host"]
+    # Kept columns go by other names on the way, so that none clashes with the columns made here.
+    kept = [f"_kept_{c}" for c in keep]
+    rows = rows.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], "text", "declared", "address", "host")
+    own = [*kept, "declared", "address", "host"]
     read = checkpoint(text_posterior(rows, model, own))
     fits = [F.col("fit")[i] for i in range(n)]
     read = read.select(*own, *[f.alias(f"f{i}") for i, f in enumerate(fits)], *[p.alias(f"p{i}") for i, p in enumerate(_shares(fits))])
@@ -168,10 +171,10 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keep: lis
         return reduce(lambda found, i: F.when(shares[i] >= F.greatest(*shares) if n > 1 else F.lit(True), F.lit(languages[i])).otherwise(found),
                       reversed(range(n)), F.lit(None).cast("string"))
 
-    judged = joined.select(*keep, *[F.col(f"p{i}") for i in range(n)], *[s.alias(f"z{i}") for i, s in enumerate(final)])
+    judged = joined.select(*kept, *[F.col(f"p{i}") for i in range(n)], *[s.alias(f"z{i}") for i, s in enumerate(final)])
     z = [F.col(f"z{i}") for i in range(n)]
     return judged.select(
-        *keep, best(z).alias("language"), (F.greatest(*z) if n > 1 else z[0]).alias("probability"),
+        *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], best(z).alias("language"), (F.greatest(*z) if n > 1 else z[0]).alias("probability"),
         best([F.col(f"p{i}") for i in range(n)]).alias("by_text"),
     )
 

@@ -55,10 +55,7 @@ class Counts:
     tokens: int
     types: int
     ends: int
-
-    @property
-    def n_classes(self) -> int:
-        return FIRST + min(len(self.count), CLASSES - FIRST)
+    n_classes: int
 
     def class_counts(self) -> np.ndarray:
         known = self.count[: self.n_classes - FIRST]
@@ -105,7 +102,7 @@ def count_words(train: DataFrame) -> tuple[DataFrame, Counts]:
     top = most_frequent(counts)
     return counts, Counts(
         {r["word"].encode(): i for i, r in enumerate(top)}, np.array([r["c"] for r in top], np.int64),
-        total["n"] + ends, total["v"] + (ends > 0), ends,
+        total["n"] + ends, total["v"] + (ends > 0), ends, FIRST + min(len(top), CLASSES - FIRST),
     )
 
 
