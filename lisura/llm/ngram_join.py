@@ -1,23 +1,26 @@
 """Exact n-gram Jaccard join of documents by parity sketches.
 
-Each shingle flips one bit of a sketch of B words of 64 bits; the bit is
-chosen by the shingle's hash.  Two sketches differ in at most as many bits as
-their sets differ in shingles, D.  So when D of the B words may differ, the
-other words are equal, and of any fixed order of (word index, word value) the
-first D + 1 entries of both documents must share one.  Words with many bits
-come first: they are rare, and empty words are never used.  B is fixed for a
-size band (a power of two of the set size), which makes words comparable; a
-document that may be the smaller partner of the next band is entered there too.
+A set's sketch has B words; a shingle is XORed into one word, chosen by its
+hash.  Two sketches differ in at most as many words (and, in the bit sketches
+below, in at most as many bits) as their sets differ in shingles, D.  So at
+least B - D words are equal, and of any fixed order of (word index, word value)
+the first D + 1 entries of both documents must share one.  Words of many
+shingles come first: they are rare, and empty words hardly ever count.  B is
+fixed for a size band (a power of two of the set size), which makes words
+comparable; a document that may be the smaller partner of the next band is
+entered there too.
 
 Documents with equal sets form one class, and only classes are joined.
 Classes that share an entry are candidates.  A group of near copies shares
 entries with everyone, so pairs are not listed: each entry's members are
-compared with the member that occurs in most shared entries (the hub), then
-connected classes are merged, and after ``STARS`` such rounds only members of
-an entry that lie in different components are compared with each other, by the
-Hamming distance of their 1,024-bit sketches inside the join condition.  What
-is left is verified on the whole shingle sets.  Every link between different
-texts is thus either verified or implied by components.
+compared with the member that occurs in most shared entries (the hub) and
+connected classes are merged.  This is repeated with other hubs, ``STARS`` times
+at most, while more than ``PAIRS`` pairs a member are open.  Then the members of an entry that lie
+in different components are compared with each other, by the Hamming distance
+of their 1,024-bit sketches inside the join condition.  Pairs that pass are
+held against longer sketches (two bits a shingle or more), and what is left is
+verified on the whole shingle sets.  Every link between different texts is
+thus either verified or implied by components.
 
 Set elements and class ids are 64-bit hashes.
 
@@ -39,10 +42,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lisura.llm.common import checkpoint, word_list
+from lisura.llm.common import checkpoint, share, text_batches, word_list
 
-#: Rounds of comparing with a hub before members of an entry are compared with each other.
-STARS = 2
+#: Open pairs for each member of a shared entry at most, before members are compared with each other; rounds with hubs at most.
+PAIRS, STARS = 10, 2
 #: Words of the sketch that filters pairs, 64 bits each.
 FILTER_WORDS = 16
 #: Members of one entry that meet in one task.
@@ -62,7 +65,7 @@ class WordHash(dict):
     """64-bit hashes of words, remembered within one task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -83,12 +86,23 @@ def shingle_set(text: bytes | None, n: int, hashes: WordHash) -> np.ndarray:
 
 
 def parity_words(shingles: np.ndarray, blocks: int) -> np.ndarray:
-    """The sketch: ``blocks`` words of 64 bits, each shingle flipping one bit."""
+    """A bit sketch: ``blocks`` words of 64 bits, each shingle flipping one bit."""
     place = (shingles >> np.uint64(6)) % np.uint64(blocks) * np.uint64(64) + (shingles & np.uint64(63))
     odd = np.bincount(place.astype(np.int64), minlength=blocks * 64) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def xor_words(shingles: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """XOR of the shingles' hashes in each word of the sketch, and their number."""
+    at = ((shingles >> np.uint64(6)) % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    sorted_at = at[order]
+    first = np.flatnonzero(np.append(True, sorted_at[1:] != sorted_at[:-1]))
+    value = np.zeros(blocks, np.uint64)
+    value[sorted_at[first]] = np.bitwise_xor.reduceat(_stir(shingles)[order], first)
+    return value, np.bincount(at, minlength=blocks)
+
+
 def entries(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Keys that two sets of Jaccard similarity ``percent`` / 100 or more must share one of."""
     n = len(shingles)
@@ -104,9 +118,9 @@ def entries(shingles: np.ndarray, percent: int) -> np.ndarray:
         most = 2 * high * (100 - percent) // (100 + percent)
         differ = min(n * (100 - percent) // percent, most)
         blocks = (3 * (most + 1) + 1) // 2
-        value = parity_words(shingles, blocks)
+        value, count = xor_words(shingles, blocks)
         key = _stir(value + _stir(np.arange(blocks, dtype=np.uint64) * np.uint64(128) + np.uint64(k)))
-        first = np.lexsort((key, -np.bitwise_count(value).astype(np.int64)))[: differ + 1]
+        first = np.lexsort((key, -count))[: differ + 1]
         found.append(key[first])
     return np.unique(np.concatenate(found)).view(np.int64)
 
@@ -116,8 +130,14 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def wide_sketch(shingles: np.ndarray) -> np.ndarray | None:
+    """A sketch of two to four bits a shingle, for sets that the filter sketch is too short for."""
+    size = 1 << max(0, (2 * len(shingles) - 1).bit_length() - 6)
+    return parity_words(shingles, size).view(np.int64) if size > FILTER_WORDS else None
+
+
 def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_shingles, class_id, and once per class and task its entries and sketch."""
+    """One row per document: doc_id, text_hash, n_shingles, class_id, and once per class and task its entries and sketches."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen = WordHash(), set()
@@ -126,26 +146,28 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for text in frame["text"]:
                 s = shingle_set(text, n, hashes)
                 if not len(s):
-                    out.append((0, None, None, None))
+                    out.append((0, None, None, None, None))
                     continue
                 class_id = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
                 if class_id in seen:
-                    out.append((len(s), class_id, None, None))
+                    out.append((len(s), class_id, None, None, None))
                     continue
                 seen.add(class_id)
-                out.append((len(s), class_id, entries(s, percent), parity_words(s, FILTER_WORDS).view(np.int64)))
-            made = pd.DataFrame(out, columns=["n_shingles", "class_id", "entries", "sketch"])
-            made["class_id"] = made["class_id"].astype("Int64")
-            for k, name in enumerate(("doc_id", "text_hash")):
-                made.insert(k, name, frame[name].astype("Int64").to_numpy())
-            yield made
+                sketch = parity_words(s, FILTER_WORDS).view(np.int64)
+                out.append((len(s), class_id, entries(s, percent), sketch, wide_sketch(s)))
+            sizes, ids, keys, short, wide = zip(*out, strict=True) if out else ([], [], [], [], [])
+            yield pd.DataFrame({
+                "doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "n_shingles": pd.array(sizes, dtype="Int64"),
+                "class_id": pd.array(ids, dtype="Int64"), "entries": list(keys), "sketch": list(short), "wide": list(wide)})
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"),
         F.col("text").cast("string").cast("binary").alias("text"),
     )
-    return rows.mapInPandas(
-        run, "doc_id long, text_hash long, n_shingles long, class_id long, entries array<long>, sketch array<long>"
+    return text_batches(
+        rows, run,
+        "doc_id long, text_hash long, n_shingles long, class_id long, "
+        "entries array<long>, sketch array<long>, wide array<long>",
     )
 
 
@@ -157,20 +179,39 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for frame in frames:
             sets = [shingle_set(t, n, hashes) for t in frame["text"]]
             ids = [np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64) for s in sets]
-            yield pd.DataFrame({"class_id": ids, "shingles": [s.view(np.int64) for s in sets], "asked": frame["class_id"]})
+            found = pd.array([int(i) for i in ids], dtype="Int64")
+            yield pd.DataFrame({"class_id": found, "shingles": [s.view(np.int64) for s in sets], "asked": frame["class_id"]})
 
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"),
         F.col("text").cast("string").cast("binary").alias("text"),
     )
     asked = wanted.select("class_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
-    found = texts.join(asked, "id").select("class_id", "text").mapInPandas(
+    found = text_batches(
+        texts.join(share(asked), "id").select("class_id", "text"),
         run, "class_id long, shingles array<long>, asked long"
     )
     # Another text under the same id is not the class; repeated rows leave one.
     return found.where(F.col("class_id") == F.col("asked")).drop("asked").dropDuplicates(["class_id"])
 
 
+def _bound(na: Column, nb: Column, percent: int) -> Column:
+    """The largest symmetric difference of a linked pair."""
+    return F.floor((na + nb) * (100 - percent) / (100 + percent))
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Hamming distance of two long sketches; the longer is folded to the length of the shorter."""
+    def fold(long: Column, short: Column) -> Column:
+        size = F.size(short)
+        return F.transform(short, lambda _, i: F.aggregate(
+            F.sequence(F.lit(0), (F.size(long) / size).cast("int") - 1), F.lit(0).cast("long"),
+            lambda total, k: total.bitwiseXOR(F.get(long, (k * size + i).cast("int")))))
+
+    x, y = F.when(F.size(x) > F.size(y), fold(x, y)).otherwise(x), F.when(F.size(y) > F.size(x), fold(y, x)).otherwise(y)
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
+
+
 def _may_differ(a: str, b: str, percent: int) -> Column:
     """Sizes and filter sketches do not rule the pair out."""
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
@@ -178,8 +219,7 @@ def _may_differ(a: str, b: str, percent: int) -> Column:
         lambda x, y: x + y,
         (F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(FILTER_WORDS)),
     )
-    # "div" on long integers: the largest symmetric difference of a linked pair.
-    bound = F.floor((na + nb) * (100 - percent) / (100 + percent))
+    bound = _bound(na, nb, percent)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart <= bound)
 
 
@@ -214,25 +254,30 @@ class _Join:
         self.spark = docs.sparkSession
         self.rows = checkpoint(describe(docs, n, percent))
         self.classes = self.rows.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(
-            F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")
+            F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"),
+            F.max("wide").alias("wide"),
         )
 
     def members(self) -> DataFrame:
         """(entry, class_id) of the entries that two or more classes share."""
         listed = self.rows.select("class_id", F.explode("entries").alias("entry"))
-        shared = (
-            listed.groupBy("entry")
-            .agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-            .where(F.col("low") < F.col("high"))
-            .select("entry")
-        )
-        return checkpoint(listed.join(shared, "entry").distinct())
+        # A class is listed once by each task that met it: entries counted twice may still be of one class.
+        twice = listed.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("entry")
+        met = checkpoint(listed.join(twice, "entry").distinct())
+        shared = met.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("entry")
+        return checkpoint(met.join(shared, "entry"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
+        wide = self.wide.withColumnRenamed("n_shingles", "n")
+        x = wide.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("xa"))
+        y = wide.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("xb"))
+        near = F.col("xa").isNull() | F.col("xb").isNull() | (
+            _apart(F.col("xa"), F.col("xb")) <= _bound(F.col("na"), F.col("nb"), self.percent))
+        pairs = checkpoint(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
         # Both ends' sets come from one document of each class.
         ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-        wanted = self.sketched.join(ends, "class_id", "left_semi").select("class_id", "doc_id")
+        wanted = checkpoint(self.sketched.join(ends, "class_id", "left_semi").select("class_id", "doc_id"))
         sets = _sets(self.docs, wanted, self.n)
         left = sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("left"))
         right = sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("right"))
@@ -248,6 +293,7 @@ class _Join:
             "class_id", "doc_id", "n_shingles", *[F.col("sketch")[i].alias(f"s{i}") for i in range(FILTER_WORDS)]
         )
         self.sketched = checkpoint(sketched)
+        self.wide = self.classes.select("class_id", "n_shingles", "wide")
         # How many neighbours a class has over all its entries: copies of one text all share with that text.
         sizes = members.groupBy("entry").agg(F.count(F.lit(1)).alias("size"))
         weight = members.join(sizes, "entry").groupBy("class_id").agg(F.sum("size").alias("weight"))
@@ -264,9 +310,13 @@ class _Join:
                 split = split.where(F.col("low") < F.col("high")).select("entry")
                 open_members = named.join(split, "entry")
             open_members = checkpoint(open_members)
-            if open_members.limit(1).count() == 0:
+            n = F.count(F.lit(1))
+            left = open_members.groupBy("entry").agg(n.alias("n"), (n * (n - 1) / 2).alias("pairs")).agg(
+                F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
+            if not left["n"]:
                 break
-            pairs = self.star(open_members, turn) if turn < STARS else self.between(open_members)
+            last = turn == STARS or (turn > 0 and left["pairs"] <= PAIRS * left["n"])
+            pairs = self.between(open_members) if last else self.star(open_members, turn)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = checkpoint(pairs)
@@ -274,6 +324,8 @@ class _Join:
             found = checkpoint(self.verify(pairs))
             links = found if links is None else links.union(found)
             roots = components(links)
+            if last:
+                break
         return roots
 
     def _sketches(self, name: str) -> DataFrame:
