@@ -179,3 +179,16 @@ def test_queries_run(spark, name):
     """Registered, and the same rows whatever the partitions."""
     fn = entry_point.queries()[name]
     assert fn(spark, FOLDER).count() > 0
+
+
+def test_toxicity_sample_keeps_the_true_share(spark, monkeypatch):
+    """More labels of a class than are drawn, and labels without a document: scores still average to the true share."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    rng = random.Random(4)
+    texts = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(50)}" for _ in range(5))) for i in range(2_200)], "id long, text string")
+    # 2,000 clean and 200 toxic texts without any difference; 3,000 toxic labels of absent documents.
+    labels = spark.createDataFrame([(i, int(i % 11 == 0)) for i in range(2_200)] + [(10_000 + i, 1) for i in range(3_000)], "id long, toxic int")
+    for known, want in ((labels.where("id < 2200"), 1 / 11), (labels, 1 / 11)):
+        model = toxicity.train(texts, known)
+        mean = toxicity.score(texts, model, ["id"]).agg(F.avg("score")).first()[0]
+        assert abs(mean - want) < 0.05, (mean, want)
