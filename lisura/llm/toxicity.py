@@ -8,9 +8,9 @@ terms can weigh more (or less) than both alone.
 Training reads a sample of at most about ``SAMPLE`` labelled rows of each class,
 drawn by hash of the id; row weights (labels of a class to labels drawn of it)
 restore the true share of the classes.
-The model's terms are the ``TERMS`` with the highest chi-square in the sample,
-and of these the ones above ``SIGNAL``, so that chance words of long texts weigh
-nothing.
+The model's terms are those that shift the odds of the label by ``EFFECT``, so
+that chance words of long texts weigh nothing, and of these the ``TERMS`` with
+the highest chi-square in the sample.
 
 Cases: null and empty text have no terms and get the score of the bias;
 repeated rows are scored each; labels that are null or join no document teach
@@ -34,12 +34,13 @@ from lisura.llm.common import checkpoint, share, text_batches, word_list
 
 #: Hashed terms; the model's terms; labelled rows of each class that the machine is fitted on.
 BUCKETS, TERMS, SAMPLE = 1 << 18, 4_096, 8_000
-#: Least chi-square of a model term: about one in a million terms without meaning reaches it.
-SIGNAL = 24.0
+#: Least effect of a model term: log of the odds ratio, drawn to zero by so many texts of the usual share.  Neither it nor its
+#: limit depends on the number of labels.
+EFFECT, PRIOR = 1.5, 4.0
 #: Lengths of the word beginnings that are terms too.
 STEMS = (4, 5, 6, 7)
-#: Rank of the pair weights, passes over the sample, rows of a step, step size, penalty.
-RANK, PASSES, BATCH, STEP, DECAY = 4, 30, 64, 0.2, 1e-3
+#: Rank of the pair weights, passes over the sample and steps at least, rows of a step, step size, penalty.
+RANK, PASSES, STEPS, BATCH, STEP, DECAY = 4, 30, 300, 64, 0.2, 1e-3
 
 
 class TermHash(dict):
@@ -106,7 +107,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, place:
     b = np.log(share / (1 - share))
     gb, gw, gv = 1e-8, np.full(n_terms + 1, 1e-8), np.full((n_terms + 1, RANK), 1e-8)
     index = [np.append(p[p >= 0], n_terms) for p in (place[r] for r in rows)]
-    for _ in range(PASSES):
+    for _ in range(max(PASSES, -(-STEPS // -(-len(index) // BATCH)))):
         order = rng.permutation(len(index))
         for first in range(0, len(order), BATCH):
             some = order[first : first + BATCH]
@@ -156,7 +157,10 @@ def train(texts: DataFrame, labels: DataFrame) -> Machine:
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     c, d = yes - F.col("a") + 0.5, no - F.col("b") + 0.5
     score = (yes + no) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * (yes + 1.0) * (no + 1.0))
-    best = counts.select("term", score.alias("score")).where(F.col("score") >= SIGNAL)
+    # Odds ratio of the label with and without knowing the term, the term's own texts joined by PRIOR texts of the usual share.
+    toxic, clean = F.col("a") + PRIOR * yes / (yes + no), F.col("b") + PRIOR * no / (yes + no)
+    effect = F.abs(F.log(toxic / clean) - float(np.log(yes / no)))
+    best = counts.where(effect >= EFFECT).select("term", score.alias("score"))
     chosen = [r["term"] for r in best.orderBy(F.desc("score"), "term").limit(TERMS).collect()]
     place[chosen] = np.arange(len(chosen))
     asked = F.array(*[F.lit(t) for t in chosen]) if chosen else F.array().cast("array<int>")

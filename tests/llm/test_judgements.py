@@ -161,8 +161,7 @@ def test_pipeline_over_files(spark, tmp_path):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
             sizes.append(docs.count())
-    # Too few labels here for a toxic word to be significant; the other stages have work.
-    assert sizes[0] >= sizes[1] > sizes[2] > sizes[3] == sizes[4]
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4]
     assert docs.select("doc_id").distinct().count() == sizes[4]
     assert corpus_pipeline.run(spark, FOLDER).count() == docs.count()
 
@@ -192,3 +191,26 @@ def test_toxicity_sample_keeps_the_true_share(spark, monkeypatch):
         model = toxicity.train(texts, known)
         mean = toxicity.score(texts, model, ["id"]).agg(F.avg("score")).first()[0]
         assert abs(mean - want) < 0.05, (mean, want)
+
+
+def test_toxic_terms_at_any_number_of_labels(spark):
+    """Each insult in a third of the toxic texts: few labels teach it as well as ten times as many."""
+    rng = random.Random(6)
+    for times in (1, 10):
+        rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(6)) + (" " + ["vile", "scum", "moron"][i // 6 % 3] if i % 6 == 0 else ""), int(i % 6 == 0))
+                for i in range(72 * times)]
+        df = spark.createDataFrame(rows, "id long, text string, toxic int")
+        model = toxicity.train(df.select("id", "text"), df.select("id", "toxic"))
+        asked = spark.createDataFrame([(0, "vile q"), (1, "q scum"), (2, "moron"), (3, "q r s"), (4, "")], "id long, text string")
+        found = {r.id: r.score >= 0.5 for r in toxicity.score(asked, model, ["id"]).collect()}
+        assert found == {0: True, 1: True, 2: True, 3: False, 4: False}, (times, found)
+
+
+def test_held_out_toxic_texts_are_found(spark):
+    """Recall and false alarms: the larger class alone would make accuracy 0.86."""
+    for size, least in (("sf0.001", 1.0), ("sf0.01", 0.6)):
+        got = jobs.queries()["op3_toxicity"](spark, f"/root/testdata/{size}").where("held_out")
+        rows = got.join(spark.read.parquet(f"/root/testdata/{size}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
+        toxic = [r for r in rows if r.toxic == 1]
+        assert sum(r.predicted for r in toxic) >= least * len(toxic)
+        assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.02 * len(rows)
