@@ -90,8 +90,29 @@ def _best_run(flags: Column) -> Column:
     return F.aggregate(flags, start, step)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13) -> DataFrame:
     """One row per (doc_id, item_id) with a verified overlap: matched and aligned words of its best run."""
+    best = F.max(F.struct("matched", -F.col("aligned"))).alias("best")
+    return (
+        _verified(docs, benchmark, least)
+        .groupBy("doc_id", "item_id", "item_words")
+        .agg(best)
+        .select("doc_id", "item_id", F.col("item_words").cast("long"), F.col("best.matched").cast("long").alias("matched"),
+                (-F.col("best.col2")).cast("long").alias("aligned"))
+    )
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, least: int = 13) -> DataFrame:
+    """(doc_id, hash) of every text with a verified overlap, repeated per overlap; ``hash`` is ``text_hash``."""
+    return _verified(docs, benchmark, least).select("doc_id", "hash")
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
+    """Verified overlaps: doc_id, hash of the text, item_id, item_words, matched, aligned."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_words(F.col("text")).alias("words"))
     items = items.where(F.size("words") >= SHORTEST).distinct()
     size = items.agg(
@@ -105,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13) -> Data
     keys = [k.select("seed", F.col("at").alias("item_at"), "item") for k in _seeds(keyed, sorted(size["short"]), True)]
     keys = _stacked(keys).distinct()
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"),
+        F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("hash"),
         text_words(F.col("text")).alias("words"))
     seeds = _seeds(rows, sorted(size["short"]), False)
     if small:
@@ -116,30 +137,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13) -> Data
         met = narrow.join(keys, "seed").distinct().alias("m")
         own = rows.alias("r")
         same = (F.col("m.hash") == F.col("r.hash")) & F.col("m.doc_id").eqNullSafe(F.col("r.doc_id"))
-        hits = own.join(met, same).select("r.doc_id", "r.words", "m.at", "m.item_at", "m.item")
+        hits = own.join(met, same).select("r.doc_id", "r.hash", "r.words", "m.at", "m.item_at", "m.item")
     # Only the words beside the hit go on, at most 2 * AROUND + 1 of them.
     back = F.least("at", "item_at", F.lit(AROUND))
     hits = hits.select(
-        "doc_id", "item", (F.col("item_at") - back).alias("item_from"), (F.col("at") - back).alias("doc_from"),
+        "doc_id", "hash", "item", (F.col("item_at") - back).alias("item_from"), (F.col("at") - back).alias("doc_from"),
         F.slice("words", F.col("at") - back + 1, back + AROUND + 1).alias("beside"),
-    ).dropDuplicates(["doc_id", "item", "item_from", "doc_from", "beside"])
+    ).dropDuplicates(["doc_id", "hash", "item", "item_from", "doc_from", "beside"])
     named = share(keyed.select("item", "item_id", F.col("words").alias("item_words")))
     laid = hits.join(named, "item")
     part = F.slice("item_words", F.col("item_from") + 1, F.size("beside"))
     n = F.least(F.size(part), F.size("beside"))
     equal = F.zip_with(F.slice("beside", F.lit(1), n), F.slice(part, F.lit(1), n), lambda a, b: a == b)
     whole = F.size("item_words")
-    judged = laid.select("doc_id", "item_id", whole.alias("item_words"), _best_run(equal).alias("run"))
+    judged = laid.select("doc_id", "hash", "item_id", whole.alias("item_words"), _best_run(equal).alias("run"))
     judged = judged.select(
-        "doc_id", "item_id", "item_words",
+        "doc_id", "hash", "item_id", "item_words",
         F.col("run.best_matched").alias("matched"), F.col("run.best_words").alias("aligned"),
     )
     enough = (F.col("matched") >= least) | ((F.col("item_words") < least) & (5 * F.col("matched") >= 4 * F.col("item_words")))
-    best = F.max(F.struct("matched", -F.col("aligned"))).alias("best")
-    return (
-        judged.where(enough)
-        .groupBy("doc_id", "item_id", "item_words")
-        .agg(best)
-        .select("doc_id", "item_id", F.col("item_words").cast("long"), F.col("best.matched").cast("long").alias("matched"),
-                (-F.col("best.col2")).cast("long").alias("aligned"))
-    )
+    return judged.where(enough)

@@ -61,16 +61,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = decontamination.contaminated(
+    """Documents without a benchmark passage; rows that share an id, or have none, are told apart by their text."""
+    found = decontamination.contaminated_texts(
         docs.select("doc_id", "text"), table(spark, folder, "benchmark")
     )
-    hit = share(checkpoint(found.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")).distinct()))
+    key = ["none", "id", "text_hash"]
+    hit = share(checkpoint(found.select(
+        F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("hash").alias("text_hash")).distinct()))
     rows = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").isNull().alias("none"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), decontamination.text_hash(F.col("text")).alias("text_hash"),
     )
-    return rows.join(hit, ["none", "id"], "left_anti").select("row.*")
+    return rows.join(hit, key, "left_anti").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -214,3 +214,12 @@ def test_held_out_toxic_texts_are_found(spark):
         toxic = [r for r in rows if r.toxic == 1]
         assert sum(r.predicted for r in toxic) >= least * len(toxic)
         assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.02 * len(rows)
+
+
+def test_decontamination_stage_tells_texts_of_one_id_apart(spark, docs_of, monkeypatch):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    rows = [(None, f"before {item} after"), (None, "clean without id"), (None, None), (6, f"see {item}"), (6, "clean with the same id"), (7, "x")]
+    for seeds in (stages.decontamination.SMALL_SEEDS, 0):
+        monkeypatch.setattr(stages.decontamination, "SMALL_SEEDS", seeds)
+        clean = stages.drop_contaminated(spark, docs_of(rows), FOLDER)
+        assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
