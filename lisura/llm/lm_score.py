@@ -78,19 +78,24 @@ def most_frequent(counts: DataFrame) -> list:
 
     A sorted limit would send that many rows from every partition.  Words are
     counted per level of frequency instead (64 levels to a doubling), and only
-    the levels that fit as a whole are fetched.
+    the levels that fit are fetched; the first that does not is filled in the
+    order of a hash of the word.
     """
     level = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
     levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
-    lowest, held = None, 0
+    place = F.shiftrightunsigned(F.xxhash64("word"), 11) / F.lit(float(1 << 53))
+    wanted, held = F.lit(False), 0
     for r in sorted(levels, key=lambda r: -r["level"]):
-        held += r["n"]
-        if held > FREQUENT:
+        room = FREQUENT - held
+        if r["n"] > room:
+            wanted = wanted | ((level == r["level"]) & (place < room / r["n"]))
             break
-        lowest = r["level"]
-    if lowest is None:
-        return []
-    return sorted(counts.where(level >= lowest).collect(), key=lambda r: (-r["c"], r["word"]))
+        held += r["n"]
+        wanted = level >= r["level"]
+    fetched = counts.where(wanted).withColumn("level", level).withColumn("place", place).collect()
+    # The share of a level is drawn, so that a few words more than there is room for may come.
+    fetched = sorted(fetched, key=lambda r: (-r["level"], r["place"]))[:FREQUENT]
+    return sorted(fetched, key=lambda r: (-r["c"], r["word"]))
 
 
 def count_words(train: DataFrame) -> tuple[DataFrame, Counts]:

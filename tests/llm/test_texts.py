@@ -205,3 +205,14 @@ def test_model_is_normalised():
     for i in range(6):
         for j in range(6):
             assert math.isclose(np.exp(a[i].astype(float) + b[j] - z[i, j]).sum(), 1.0, rel_tol=1e-5)
+
+
+def test_frequent_words_fill_a_level_that_does_not_fit(spark, monkeypatch):
+    """A level larger than the room gives as many words as fit, the same ones in any order of the rows."""
+    monkeypatch.setattr(lm_score, "FREQUENT", 1_000)
+    once = [(f"w{i}", 1) for i in range(5_000)]
+    for some, most in (([], 0), ([("the", 90), ("of", 70)], 2)):
+        counts = spark.createDataFrame([*some, *once], "word string, c long")
+        got = lm_score.most_frequent(counts)
+        assert 850 <= len(got) <= 1_000 and [r.word for r in got[:most]] == [w for w, _ in some]
+        assert [r.word for r in lm_score.most_frequent(counts.repartition(7))] == [r.word for r in got]
