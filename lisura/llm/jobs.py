@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lisura.llm import block_search, decontamination, language, lm_score, ngram_join, packing, secrets, sharding, stages, toxicity, url_filter
+from lisura.llm import (
+    block_search,
+    decontamination,
+    filter_audit,
+    language,
+    lm_score,
+    manifest,
+    ngram_join,
+    packing,
+    secrets,
+    sharding,
+    simhash_index,
+    stages,
+    toxicity,
+    url_filter,
+)
 from lisura.llm.common import fold, table
 from lisura.llm.oracles import ORACLES
 
@@ -93,9 +108,26 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_index.near_copies(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    counts = filter_audit.mask_counts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return filter_audit.audit(counts)
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    made = manifest.manifest(table(spark, folder, "documents"))
+    proof, end = manifest.proof_hash(F.col("path")), manifest.folded(F.col("tampered"), F.col("path"))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), end.alias("folded_root"), (end == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_block_search, op3_toxicity, op4_packing, op5_secret_scan, op6_decontamination, op7_language_id, op8_url_filter, op9_sharding, op10_lm_score,
+        op11_simhash_dedup, op12_filter_audit, op13_merkle_manifest,
     )
 }
 

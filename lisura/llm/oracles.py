@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from lisura.llm.common import LOWER, UPPER
 from lisura.llm.decontamination import AROUND, MASKS, SHORTEST, SPAN
+from lisura.llm.filter_audit import CAPITAL_PERCENT, DISTINCT_PERCENT, MIN_WORDS, SYMBOLS
+from lisura.llm.manifest import FIELDS
 from lisura.llm.secrets import BASE, KINDS, SCOPE
 
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+')"
@@ -121,9 +123,82 @@ select doc_id, item_id, item_words::bigint as item_words, max(matched)::bigint a
   arg_max(aligned, matched * 1000 - aligned)::bigint as aligned
 from enough group by 1, 2, 3"""
 
+OP12 = f"""
+with recursive t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words from t),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+      from labels group by 1),
+f as (select part, w.doc_id,
+        case when len(words) < {MIN_WORDS} then 'A' else '' end
+        || case when 100 * len(list_distinct(words)) < {DISTINCT_PERCENT} * len(words) then 'B' else '' end
+        || case when 100 * (length(text) - length(translate(text, '{UPPER}', ''))) > {CAPITAL_PERCENT} * length(text) then 'C' else '' end
+        || case when regexp_matches(text, '{SYMBOLS}') then 'D' else '' end
+        || case when coalesce(w.doc_id, 9223372036854775807) > min(w.doc_id) over (partition by text) then 'E' else '' end as failed,
+        coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+      from w left join l on l.doc_id = w.doc_id),
+c as (select part, failed, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by 1, 2),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select '' as o union all select o || x from orders, letters where instr(o, x) = 0),
+whole as (select o as filter_order from orders where length(o) = 5),
+steps as (select filter_order, unnest(range(1, 6)) as step from whole),
+parts as (select part, sum(n) as total from c group by 1),
+gone as (select part, filter_order, n, good, toxic, failed,
+           list_min(list_transform(string_split(failed, ''), lambda x: instr(filter_order, x))) as goes_at from c, whole where failed <> ''),
+removed as (select part, filter_order, goes_at, sum(n) as n, sum(good) as good, sum(toxic) as toxic from gone group by 1, 2, 3),
+r as (select parts.part, steps.filter_order, step, substr(steps.filter_order, step, 1) as x, total,
+        coalesce(n, 0) as removed, coalesce(good, 0) as good_lost, coalesce(toxic, 0) as toxic_lost
+      from parts cross join steps left join removed on removed.part = parts.part and removed.filter_order = steps.filter_order and goes_at = step),
+fails as (select part, x, sum(n) as fails, sum(case when failed = x then n else 0 end) as alone
+          from c, letters where instr(failed, x) > 0 group by 1, 2)
+select r.part, filter_order, step::int as step,
+  (total - sum(removed) over (partition by r.part, filter_order order by step))::bigint as kept, removed::bigint as removed,
+  (coalesce(fails, 0) - removed)::bigint as redundant, coalesce(alone, 0)::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  sum(removed) over (partition by r.part, r.x)::bigint as shapley
+from r left join fails on fails.part = r.part and fails.x = r.x"""
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::varchar)::varchar || ':' || {name}::varchar, '-')"
+
+
+_CRC = """xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint),
+  lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda a, z: xor(a >> 1, (a & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295)"""
+_LEAF = "sha256(" + " || ".join(map(_field, FIELDS[:-1])) + " || {})"
+
+OP13 = f"""
+with recursive d as (select doc_id, lang, {_LEAF.format(_field("text"))} as leaf,
+    case when doc_id is not null and {_CRC} % 3 = 0
+      then {_LEAF.format(_field(f"translate(text, '{UPPER}', '{LOWER}')"))} end as tampered from documents),
+rows as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by lang) as n,
+    row_number() over () as id from d),
+lv as (select 0 as level, lang, n, idx, leaf as digest from rows
+  union all select level + 1, lang, (max(n) + 7) // 8, idx // 8, sha256(string_agg(digest, '' order by idx)) from lv where n > 1 group by level, lang, idx // 8),
+sub as (select lang, digest, row_number() over (order by lang nulls first) - 1 as idx, count(*) over () as n from lv where n = 1),
+top as (select 0 as level, n, idx, digest from sub
+  union all select level + 1, (max(n) + 7) // 8, idx // 8, sha256(string_agg(digest, '' order by idx)) from top where n > 1 group by level, idx // 8),
+runs as (select level, lang, idx // 8 as parent, list(digest order by idx) as run from lv where n > 1 group by 1, 2, 3),
+top_runs as (select level, idx // 8 as parent, list(digest order by idx) as run from top where n > 1 group by 1, 2),
+found as (
+  select id, level, run, (idx // (8 ** level)::bigint) % 8 as slot from rows join runs
+    on runs.lang is not distinct from rows.lang and parent = idx // (8 ** (level + 1))::bigint
+  union all select id, 100 + level, run, (sub.idx // (8 ** level)::bigint) % 8 from rows join sub on sub.lang is not distinct from rows.lang
+    join top_runs on parent = sub.idx // (8 ** (level + 1))::bigint),
+path as (select id, row_number() over (partition by id order by level) as k,
+  array_to_string(run[1:slot], '') as before, array_to_string(run[slot + 2:], '') as after from found),
+proof as (select id, string_agg(before || after, '' order by k) as p from path group by 1),
+fold as (select id, 0 as k, coalesce(tampered, leaf) as cur from rows
+  union all select fold.id, fold.k + 1, sha256(before || cur || after) from fold join path on path.id = fold.id and path.k = fold.k + 1),
+ends as (select id, arg_max(cur, k) as folded_root from fold group by 1)
+select doc_id, leaf, sub.digest as subroot, top.digest as root, sha256(coalesce(p, '')) as proof_sha256, folded_root,
+  folded_root = top.digest as verified
+from rows join sub on sub.lang is not distinct from rows.lang join top on top.n = 1 join ends using (id) left join proof using (id)"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": OP1,
     "op2_block_search": OP2,
     "op5_secret_scan": OP5,
     "op6_decontamination": OP6,
+    "op12_filter_audit": OP12,
+    "op13_merkle_manifest": OP13,
 }
