@@ -121,7 +121,7 @@ select concat(o_orderkey, '-1-x:', coalesce(l_linenumber, 0), ':', case when l_l
   'b' as orgao_razao, case when l_linenumber is null then '' else concat('item ', l_linenumber) end as descricao,
   case when l_linenumber % 2 = 0 then lpad(cast(l_suppkey as string), 14, '0') else '' end as ni_fornecedor,
   cast(l_quantity as string) as quantidade, cast(o_totalprice as string) as valor_total_homologado
-from {orders} left join (select distinct on (l_orderkey, l_linenumber) * from {lineitem} order by l_orderkey, l_linenumber, l_partkey, l_suppkey) l
+from {orders} left join (select distinct on (l_orderkey, l_linenumber) * from {lineitem} order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) l
   on l_orderkey = o_orderkey""")
 def _(v):
     key = F.col("o_orderkey").cast("string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -59,3 +60,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="run-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast hint for a checkpointed frame of at most ``rows`` narrow rows; else the frame, to be shuffled.
+
+    Reads at most ``rows`` + 1 rows to find out.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
