@@ -78,17 +78,18 @@ def with_record_identity(df: DataFrame) -> DataFrame:
     return df.withColumn("record_hash", content_hash(df)).withColumn("record_id", record)
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """One row (n, h1, h2): an order-free fingerprint of a whole table.
+def fingerprint(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (n, h1, h2), or one per group: an order-free fingerprint of a whole table.
 
     Two independent 64-bit row hashes are summed as decimals, so the result is
     an ordinary partial aggregate and equal rows are counted, not cancelled.
+    Columns of ``by`` are not part of the content.
     """
-    cols = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    cols = [F.col(f"`{c}`") for c in sorted(df.columns) if c not in by]
     wide = "decimal(38,0)"
     first = F.xxhash64(*cols)
     second = F.xxhash64(F.lit("salt"), *reversed(cols))
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(first.cast(wide)), F.lit(0).cast(wide)).alias("h1"),
         F.coalesce(F.sum(second.cast(wide)), F.lit(0).cast(wide)).alias("h2"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ SETTINGS = {
     # The JVM does not compile methods above 8,000 bytes; beyond that, smaller
     # per-operator methods are much faster than one interpreted big one.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # State on the executors' disks, not in their heaps; list state and timers need it.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -44,21 +47,31 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, name: s
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later steps read the result instead of recomputing it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all machines see.
 
-    Runs a job.  The folder is ``spark.checkpoint.dir``.  A local session
-    without one takes a scratch folder; a cluster without one gets an error, as
-    its machines share no other folder.
+    A local session without one takes a scratch folder; a cluster without one
+    gets an error, as its machines share no other folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             folder = tempfile.mkdtemp(prefix="run-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A name for a new folder below the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4()}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: later steps read the result instead of recomputing it.  Runs a job."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,6 +1,7 @@
 """File formats, landing and table storage."""
 
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from lisura.sources import purchases as PU
 from lisura.sources import registry as RG
 from lisura.sources import releases as RL
 from lisura.sources import sanctions as SA
-from lisura.sources.tables import read_table, write_table
+from lisura.sources import tables as TB
 
 
 def test_delimited_files(spark, tmp_path):
@@ -123,9 +124,75 @@ def test_registers_must_both_be_present(spark):
     assert rows.first()["CADASTRO"] == "CEIS" and [r.register for r in SA.missing_registers(rows).collect()] == ["CNEP"]
 
 
-def test_versioned_tables(spark, tmp_path):
+def _content(listed):
+    return {r["folder"]: sorted((p.name, p.read_bytes()) for p in Path(r["folder"].removeprefix("file:")).iterdir()) for r in listed}
+
+
+def test_upserts_rewrite_touched_ranges_only(spark, tmp_path):
+    root, keys = str(tmp_path), ["k", "j"]
+
+    def merge(old, new):
+        return new if old is None else old.join(new, keys, "left_anti").unionByName(new)
+
+    def rows(pairs):
+        return spark.createDataFrame([(f"{k:05d}", j, t) for k, j, t in pairs], "k string, j int, t string")
+
+    assert TB.read_table(spark, root, "t") is None and TB.ranges(spark, root, "t") == []
+    first = [(k, 1, "a") for k in range(1000)] + [(5, None, "a")]
+    TB.upsert_table(rows(first), root, "t", keys, merge, range_rows=100)
+    one = TB.ranges(spark, root, "t")
+    assert len(one) > 5 and sum(r["rows"] for r in one) == 1001
+    before = _content(one)
+    # Two neighbouring keys, one new and one known, and one below all others.
+    got = TB.upsert_table(rows([(500, 1, "b"), (500, 2, "b"), (-1, 1, "b")]), root, "t", keys, merge, range_rows=100)
+    two = TB.ranges(spark, root, "t")
+    same = {r["folder"] for r in one} & {r["folder"] for r in two}
+    assert len(same) >= len(one) - 2 and {f: c for f, c in before.items() if f in same} == {f: c for f, c in _content(two).items() if f in same}
+    want = {(f"{k:05d}", j, t) for k, j, t in first if (k, j) != (500, 1)} | {("00500", 1, "b"), ("00500", 2, "b"), ("-0001", 1, "b")}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    # A range that grows is cut; every key is found in its range again.
+    got = TB.upsert_table(rows([(500, j, "c") for j in range(400)]), root, "t", keys, merge, range_rows=100)
+    three = TB.ranges(spark, root, "t")
+    assert len(three) > len(two) and got.count() == len(want) + 398 and max(r["rows"] for r in three) <= 200
+    lows = [r["low"] for r in three]
+    placed = got.withColumn("r", TB.range_of(TB.key_text(keys), lows)).groupBy("r").count().collect()
+    assert {r["r"]: r["count"] for r in placed} == {i: r["rows"] for i, r in enumerate(three)}
+    # Nothing to merge leaves the version; a lost job (data without a list) is not seen and can be repeated.
+    TB.upsert_table(rows([]), root, "t", keys, merge)
+    assert [r["version"] for r in TB.ranges(spark, root, "t")] == [3] * len(three)
+    rows([(1, 1, "lost")]).write.parquet(f"{root}/t/v=4/_range=0")
+    assert TB.read_table(spark, root, "t").where("t = 'lost'").isEmpty()
+    wider = rows([(700, 1, "d")]).withColumn("extra", F.lit("x"))
+    grown = TB.upsert_table(wider, root, "t", keys, lambda old, new: old.join(new, keys, "left_anti").unionByName(new, allowMissingColumns=True))
+    assert grown.where("extra = 'x'").count() == 1 and grown.count() == got.count()
+
+
+def test_refreshed_tables(spark, tmp_path):
     root = str(tmp_path)
-    assert read_table(spark, root, "t") is None
-    write_table(spark.range(3), root, "t")
-    write_table(read_table(spark, root, "t").where("id > 0"), root, "t")
-    assert read_table(spark, root, "t").count() == 2
+    TB.write_table(spark.range(3), root, "t", ["id"])
+    TB.write_table(TB.read_table(spark, root, "t").where("id > 0"), root, "t", ["id"])
+    assert TB.read_table(spark, root, "t").count() == 2
+
+
+def test_snapshots_are_read_by_their_list(spark, tmp_path):
+    root = str(tmp_path)
+    a = spark.createDataFrame([("1", "x", 2024), ("2", "y", 2025)], "record_id string, a string, year int")
+    b = spark.createDataFrame([("3", "z", 2024)], "record_id string, b string, year int")
+    assert LA.read_landed(spark, root, "s") is None
+    LA.land_by_year(a, root, "s", (2024, 2025))
+    LA.land_by_year(b, root, "s", (2024,), writer="me")
+    spark.range(5).write.parquet(f"{LA.data_path(root, 's')}/year=2024/date=2024-12-31/snapshot_id=lost")
+    got = LA.read_landed(spark, root, "s")
+    assert {(r.record_id, r.a, r.b, r._year) for r in got.collect()} == {("1", "x", None, 2024), ("2", "y", None, 2025), ("3", None, "z", 2024)}
+    assert LA.read_landed(spark, root, "s", not_by="me").count() == 2
+    again = LA.land_by_year(a.unionByName(a.limit(0)), root, "s", (2024, 2025))
+    assert [r["new"] for r in again] == [False, False]
+
+
+def test_many_files_of_different_headers(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.csv").write_text(("id;nome\n" if i % 2 else "id,valor\n") + f"{i}{';' if i % 2 else ','}x\n" * 3)
+    (tmp_path / "empty.csv").write_text("")
+    rows = D.read_delimited(spark, str(tmp_path / "*.csv"))
+    assert rows.columns == ["id", "valor", "nome"] and rows.count() == 18
+    assert rows.where("nome = 'x'").count() == 9
