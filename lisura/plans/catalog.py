@@ -5,5 +5,6 @@ from lisura.plans import (  # noqa: F401
     jobs_detect,
     jobs_graph,
     jobs_normalize,
+    jobs_stored,
     jobs_tables,
 )
