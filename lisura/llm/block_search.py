@@ -1,7 +1,7 @@
 """Exact nearest neighbours by blocks of 8-bit products with error bounds.
 
-Vectors are scaled by their own largest component and rounded to 8 bits.
-Blocks of queries meet blocks of candidates; one product of two small integer
+Vectors are scaled by a power of two to a largest component near one, which
+loses nothing at any magnitude, and rounded to 8 bits.  Blocks of queries meet blocks of candidates; one product of two small integer
 matrices gives the inner products of a whole tile, and the rounding error of
 each pair is bounded from the norms.  A pair whose upper bound is below the
 ``k``-th best lower bound of its query in the tile cannot be among the nearest.
@@ -12,7 +12,10 @@ Tiles are dealt out by (query block, candidate block), so no task holds more
 than one block of each.  Blocks are sized by a count of the vectors.
 
 Cases: vectors that are null, empty, zero or hold a null or non-finite
-component take no part; vectors of another length meet only their own length;
+component take no part; products that leave the range of doubles are infinite
+or zero like in plain double arithmetic, a pair whose
+bound is not a number is computed, and a product that is none (infinities
+that cancel) counts as greatest; vectors of another length meet only their own length;
 rows with a null id take no part; a query has no partner with its own id;
 repeated rows are candidates once each; of different queries under one id the least
 vector asks; ties go to the smaller id; an empty table gives no rows; other
@@ -34,6 +37,10 @@ from pyspark.sql import functions as F
 QUERIES, CANDIDATES = 4_096, 8_192
 #: Candidates that are multiplied at once inside a tile.
 STRIP = 1_024
+#: Columns whose 8-bit products add up exactly in float32: 1,024 * 127 * 127 is below 2 ** 24.
+EXACT = 1_024
+#: Powers of two below which a product of two factors stays in the range of doubles; the smallest double.
+PLAIN, SMALLEST = 400, 5e-324
 
 
 def usable(vector: Column) -> Column:
@@ -43,6 +50,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with their largest component in [0.5, 1), and the powers of two they were divided by."""
+    power = np.frexp(np.abs(x).max(1))[1]
+    return np.ldexp(x, -power[:, None]), power
+
+
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """8-bit rows (as float32, which is exact), their scale, the norm of the rounding, the norm of the row."""
     scale = np.abs(x).max(1) / 127.0
@@ -50,40 +63,65 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return q.astype(np.float32), scale, np.linalg.norm(x - q * scale[:, None], axis=1), np.linalg.norm(x, axis=1)
 
 
+def products(q8: np.ndarray, c8: np.ndarray) -> np.ndarray:
+    """Exact products of 8-bit rows: float32 holds the sums of ``EXACT`` columns, longer ones are added as doubles."""
+    total = (q8[:, :EXACT] @ c8[:, :EXACT].T).astype(float)
+    for at in range(EXACT, q8.shape[1], EXACT):
+        total += q8[:, at : at + EXACT] @ c8[:, at : at + EXACT].T
+    return total
+
+
+def unscaled(x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """``x`` times two to the sum of its row's and its column's power."""
+    if max(np.abs(rows).max(), np.abs(cols).max()) < PLAIN:
+        return x * np.ldexp(1.0, rows)[:, None] * np.ldexp(1.0, cols)
+    return np.ldexp(x, rows[:, None] + cols)
+
+
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
     """(query, candidate, score) of the best ``k`` candidates of each query in this tile."""
-    q8, q_scale, q_error, q_norm = quantised(q)
-    heaps: list[list[tuple[float, int, int]]] = [[] for _ in q_ids]
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        yield from _tile(q_ids, q, c_ids, c, k)
+
+
+def _tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+    near_one, q_power = scaled(q)
+    q8, q_scale, q_error, q_norm = quantised(near_one)
+    # (not a number, score, id below zero, serial below zero)
+    heaps: list[list[tuple[bool, float, int, int]]] = [[] for _ in q_ids]
     serial = 0
     for first in range(0, len(c), STRIP):
         part, ids = c[first : first + STRIP], c_ids[first : first + STRIP]
-        c8, c_scale, c_error, c_norm = quantised(part)
-        about = (q8 @ c8.T).astype(float) * q_scale[:, None] * c_scale
+        near_one, c_power = scaled(part)
+        c8, c_scale, c_error, c_norm = quantised(near_one)
+        about = products(q8, c8) * q_scale[:, None] * c_scale
         # |q.c - q'.c'| <= |q - q'| |c| + |q'| |c - c'|, and |q'| <= |q| + |q - q'|.
         error = q_error[:, None] * c_norm + (q_norm + q_error)[:, None] * c_error
         error += 1e-9 * (q_norm[:, None] * c_norm)
+        # What plain doubles lose where products are too small for them.
+        least_step = part.shape[1] * SMALLEST
         own = q_ids[:, None] == ids
-        low = np.where(own, -np.inf, about - error)
-        high = np.where(own, -np.inf, about + error)
+        low = np.where(own, -np.inf, unscaled(about - error, q_power, c_power) - least_step)
+        high = np.where(own, -np.inf, unscaled(about + error, q_power, c_power) + least_step)
         n = low.shape[1]
         if n > k:
             least = np.partition(low, n - k, axis=1)[:, n - k]
         else:
             least = np.full(len(q_ids), -np.inf)
         # What earlier strips have found is exact, and raises the bar.
-        bar = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
-        row, col = np.nonzero((high >= np.maximum(least, bar)[:, None]) & ~own)
+        bar = np.array([h[0][1] if len(h) == k else -np.inf for h in heaps])
+        row, col = np.nonzero(~(high < np.fmax(least, bar)[:, None]) & ~own)
         exact = (q[row] * part[col]).sum(1)
         for r, x, candidate in zip(row.tolist(), exact.tolist(), ids[col].tolist(), strict=True):
             # Smaller ids win ties, so they count as greater; repeated rows differ in the serial number.
             serial += 1
-            entry = (x, -candidate, -serial)
+            entry = (x != x, x if x == x else 0.0, -candidate, -serial)
             if len(heaps[r]) < k:
                 heapq.heappush(heaps[r], entry)
             elif entry > heaps[r][0]:
                 heapq.heapreplace(heaps[r], entry)
     for query, heap in zip(q_ids.tolist(), heaps, strict=True):
-        yield from ((query, -candidate, x) for x, candidate, _ in heap)
+        yield from ((query, -candidate, np.nan if odd else x) for odd, x, candidate, _ in heap)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space and the control characters 9 to 13: everything else is part of a word.
@@ -64,19 +64,43 @@ def share(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def add_from_text(df: DataFrame, keep: list[str], make: Callable[[], Callable], name: str, kind: T.DataType) -> DataFrame:
+    """``keep`` of every row and a column made from ``text`` by a function that each task makes for itself.
+
+    Other columns pass through as Arrow data, unread: any type and any name.
+    """
+    rows = df.select(*keep, F.col("text").cast("string").cast("binary"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(name, kind)])
+    wanted = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_text = make()
+        for b in batches:
+            made = pa.array([of_text(t) for t in b.column(b.num_columns - 1).to_pylist()], wanted)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=schema.names)
+
+    bound_batches(df)
+    return rows.mapInArrow(run, schema)
+
+
 #: Texts that a Python worker gets at once: long ones fit into its memory too.
 BATCH_ROWS = "1000"
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Python workers of this session get ``BATCH_ROWS`` rows at a time, or fewer where that is set."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= int(BATCH_ROWS):
+        conf.set(name, BATCH_ROWS)
+
+
 def text_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """Pandas frames through ``run``, a thousand rows at a time (a setting of the session, left lower if it is).
 
     Whole numbers keep all their digits, absent ones among them or not: the
     frames have nullable types, where plain pandas would turn to floats.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= int(BATCH_ROWS):
-        conf.set(name, BATCH_ROWS)
+    bound_batches(df)
     wanted = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

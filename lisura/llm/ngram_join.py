@@ -40,12 +40,15 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lisura.llm.common import checkpoint, share, text_batches, word_list
 
 #: Open pairs for each member of a shared entry at most, before members are compared with each other; rounds with hubs at most.
 PAIRS, STARS = 10, 2
+#: One class of so many is drawn to find frequent entries: those that so many drawn classes have, so many of them at most.
+SAMPLE, OFTEN, FREQUENT = 64, 50, 10_000
 #: Words of the sketch that filters pairs, 64 bits each.
 FILTER_WORDS = 16
 #: Members of one entry that meet in one task.
@@ -259,13 +262,22 @@ class _Join:
         )
 
     def members(self) -> DataFrame:
-        """(entry, class_id) of the entries that two or more classes share."""
+        """(entry, class_id) of the entries that two or more classes share.
+
+        Entries move once.  Those that a fixed share of a sample of classes
+        has are shared for certain; they are few and do not move at all, so no
+        task gets the members of a frequent entry.
+        """
         listed = self.rows.select("class_id", F.explode("entries").alias("entry"))
-        # A class is listed once by each task that met it: entries counted twice may still be of one class.
-        twice = listed.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("entry")
-        met = checkpoint(listed.join(twice, "entry").distinct())
-        shared = met.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("entry")
-        return checkpoint(met.join(shared, "entry"))
+        drawn = listed.where(F.pmod(F.xxhash64("class_id"), F.lit(SAMPLE)) == 0)
+        often = drawn.groupBy("entry").agg(F.approx_count_distinct("class_id").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+        often = often.where((F.col("low") < F.col("high")) & (F.col("n") >= OFTEN)).orderBy(F.desc("n"), "entry").limit(FREQUENT)
+        often = F.broadcast(checkpoint(often.select("entry")))
+        group = W.partitionBy("entry")
+        rare = listed.join(often, "entry", "left_anti").withColumns({"low": F.min("class_id").over(group), "high": F.max("class_id").over(group)})
+        rare = rare.where(F.col("low") < F.col("high")).select("entry", "class_id")
+        # A class is listed once by each task that met it.
+        return checkpoint(rare.distinct().unionByName(listed.join(often, "entry", "left_semi").select("entry", "class_id").distinct()))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""

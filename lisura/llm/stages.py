@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     """Of each group of near copies (five words, similarity 0.8), the document with the smallest id.
 
     Documents without words stay.  Null ids come last.  Of rows that repeat
-    both id and text, the least by their other columns stays.
+    both id and text, one stays, chosen by a hash of the whole row.
     """
     found = ngram_join.near_copies(docs, n=5, percent=80)
     ident = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash")]
@@ -56,7 +56,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     special = share(checkpoint(judged.where(F.col("goes") | F.col("again")).select(key)))
     again = share(checkpoint(judged.where(~F.col("goes") & F.col("again")).select(key)))
     once = rows.join(special, key, "left_anti").select("row")
-    one = rows.join(again, key, "left_semi").groupBy(*key).agg(F.min("row").alias("row")).select("row")
+    # By a hash, as some columns (maps) have no order of their own.
+    first_row = F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")
+    one = rows.join(again, key, "left_semi").groupBy(*key).agg(first_row).select("row")
     return once.unionByName(one).select("row.*")
 
 

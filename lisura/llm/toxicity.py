@@ -21,16 +21,16 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lisura.llm.common import checkpoint, share, text_batches, word_list
+from lisura.llm.common import add_from_text, checkpoint, share, word_list
 
 #: Hashed terms; the model's terms; labelled rows of each class that the machine is fitted on.
 BUCKETS, TERMS, SAMPLE = 1 << 18, 4_096, 8_000
@@ -67,16 +67,11 @@ def terms_of(text: bytes | None, buckets: TermHash) -> np.ndarray:
 def _terms(df: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and the terms of ``text``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable:
         buckets = TermHash()
-        for frame in frames:
-            out = frame[keep].copy()
-            out["terms"] = [terms_of(t, buckets) for t in frame["text"]]
-            yield out
+        return lambda text: terms_of(text, buckets)
 
-    rows = df.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
-    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n != "text")
-    return text_batches(rows, run, f"{kinds}, terms array<int>")
+    return add_from_text(df, keep, make, "terms", T.ArrayType(T.IntegerType()))
 
 
 @dataclass
@@ -174,14 +169,9 @@ def train(texts: DataFrame, labels: DataFrame) -> Machine:
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
     """``keep`` and ``score`` of every row; the model is an array of fixed size, sent to every task."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
-    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n != "text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable:
         model, buckets = shared.value, TermHash()
-        for frame in frames:
-            out = frame[keep].copy()
-            out["score"] = [model.score(terms_of(t, buckets)) for t in frame["text"]]
-            yield out
+        return lambda text: model.score(terms_of(text, buckets))
 
-    return text_batches(rows, run, f"{kinds}, score double")
+    return add_from_text(docs, keep, make, "score", T.DoubleType())

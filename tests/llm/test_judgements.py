@@ -151,6 +151,41 @@ def test_stages_filter(spark, docs_of):
         assert stage(spark, docs.limit(0), FOLDER).count() == 0, name
 
 
+def test_stages_pass_any_column(spark):
+    """Names that need quotes, maps, nested and old dates come back as they were."""
+    text = " ".join(f"t{i}" for i in range(60))
+    rows = [(1, text, "en", 1), (1, text, "en", 2), (2, text + " more", "en", 3), (3, "clean words", None, 4), (None, None, "fr", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, k int").selectExpr(
+        "doc_id", "text", "lang", "'s' as source", "cast(length(text) as bigint) as n_chars", "k as `my col`", "k as `a-b`", "k as row",
+        "map('x', k) as m", "date '1500-03-01' as old", "timestamp '0900-01-01 00:00:00' as older", "array(struct(k as `x y`)) as deep",
+        "cast(k as decimal(30,10)) as big", "true as none", "'h' as text_hash")
+    whole = {r["my col"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, FOLDER)
+        assert got.columns == docs.columns, name
+        for r in got.collect():
+            assert r == whole[r["my col"]], name
+    kept = {r["my col"] for r in stages.drop_near_copies(spark, docs, FOLDER).collect()}
+    assert len(kept & {1, 2}) == 1 and kept - {1, 2} == {4, 5}
+
+
+def test_toxicity_scores_equal_the_plain_sum_over_pairs(spark, docs_of):
+    """The machine's score, written out pair by pair."""
+    rng = np.random.default_rng(3)
+    place = np.full(toxicity.BUCKETS, -1, np.int32)
+    chosen = rng.choice(toxicity.BUCKETS, toxicity.BUCKETS // 2, replace=False)
+    place[chosen] = np.arange(len(chosen))
+    machine = toxicity.Machine(place, 0.3, rng.normal(0, 0.2, len(chosen)), rng.normal(0, 0.2, (len(chosen), toxicity.RANK)))
+    rows = [(1, "you are an awful person"), (2, None), (3, ""), (4, "One two TWO three"), (None, "lost words"), (5, "é ü")]
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(rows), machine, ["doc_id"]).collect()}
+    buckets = toxicity.TermHash()
+    for i, t in rows:
+        at = [place[b] for b in toxicity.terms_of(t.encode() if t is not None else None, buckets) if place[b] >= 0]
+        z = machine.bias + sum(machine.linear[a] for a in at)
+        z += sum(float(machine.pairs[a] @ machine.pairs[b]) for k, a in enumerate(at) for b in at[k + 1:])
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
 def test_pipeline_over_files(spark, tmp_path):
     """The stages, each written and read again, against the operators' own results."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")

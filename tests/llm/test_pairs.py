@@ -131,6 +131,38 @@ def test_block_search_equals_brute_force(spark, monkeypatch):
     assert block_search.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def _plain_nearest(rows, step, k):
+    for q, x in rows:
+        if q % step == 0:
+            scored = sorted((-float(np.dot(np.array(x), np.array(c))), i) for i, c in rows if i != q)
+            yield from ((q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1))
+
+
+def test_block_search_at_extreme_magnitudes(spark):
+    """Norms beyond the range of doubles, and vectors of the smallest numbers there are."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) * 10.0 ** (100 if i % 3 == 0 else -160 if i % 3 == 1 else 0) for x in rng.normal(size=6)]) for i in range(60)]
+    rows += [(100 + i, [5e-324 * int(x) for x in rng.integers(1, 9, 6)]) for i in range(6)] + [(200, [1e200] * 6), (205, [1e200] * 6), (210, [-1e200] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = block_search.nearest(df, df.where("vec_id % 5 = 0"), k=7).collect()
+    with np.errstate(over="ignore"):
+        want = {(q, r): (i, s) for q, r, i, s in _plain_nearest(rows, 5, 7)}
+    assert len(got) == len(want)
+    for r in got:
+        i, s = want[r["query_id"], r["rank"]]
+        assert r["vec_id"] == i and (r["score"] == s or abs(r["score"] - s) <= 1e-12 * abs(s))
+
+
+def test_block_search_of_long_vectors(spark):
+    """4,096 dimensions of near ties: partial sums of 8-bit products exceed what float32 holds."""
+    rng = np.random.default_rng(6)
+    base = np.abs(rng.normal(size=4096)) + 1
+    rows = [(i, (base + 1e-4 * rng.normal(size=4096)).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in block_search.nearest(df, df.where("vec_id % 10 = 0"), k=10).collect()}
+    assert got == {(q, r): i for q, r, i, _ in _plain_nearest(rows, 10, 10)}
+
+
 def test_decontamination_tolerates_substitutions(spark, docs_of, monkeypatch):
     rng = random.Random(4)
     items = {i: [f"w{rng.randrange(500)}" for _ in range(n)] for i, n in enumerate((40, 25, 14, 12, 7, 5, 4), 1)}
