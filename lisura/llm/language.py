@@ -27,12 +27,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lisura.llm.common import ascii_lower, checkpoint, text_batches
 
-#: Hashed trigrams; labelled rows of each language; languages of the model, most frequent first.
+#: Hashed trigrams; labelled rows of each language (about); languages of the model, most frequent first.
 BUCKETS, SAMPLE, LANGUAGES = 1 << 15, 2_000, 64
 #: Trigrams that count as independent evidence; rows that a parent's share weighs; smoothing of values.
 EVIDENCE, PARENT, SMOOTH = 60.0, 8.0, 1.0
@@ -51,8 +50,12 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.xxhash64("id").alias("order"))
     top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in top)
-    first = W.partitionBy("lang").orderBy("order")
-    some = rows.where(F.col("lang").isin(languages)).withColumn("at", F.row_number().over(first)).where(F.col("at") <= SAMPLE)
+    # Drawn by a hash and the counts, so that no text moves before it is drawn.
+    draw = F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53))
+    part = F.lit(0.0)
+    for r in top:
+        part = F.when(F.col("lang") == r["lang"], min(1.0, SAMPLE / r["n"])).otherwise(part)
+    some = rows.where(draw < part)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}

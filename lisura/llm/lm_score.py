@@ -41,7 +41,7 @@ from lisura.llm.common import checkpoint, text_batches, word_list, words
 #: Classes of the model; words whose counts are sent to every task.
 CLASSES, FREQUENT = 1_024, 65_536
 #: Dimensions, tokens and noise samples of a step, step size.
-DIMENSIONS, BATCH, NOISE, STEP = 16, 512, 64, 0.05
+DIMENSIONS, BATCH, NOISE, STEP = 16, 1_024, 64, 0.1
 UNKNOWN, END, START = 0, 1, 2
 FIRST = 3
 
@@ -168,33 +168,40 @@ class Trainer:
     """Noise-contrastive estimation: tell each token from samples of the classes' own frequencies."""
 
     def __init__(self, model: Model, class_counts: np.ndarray, seed: int):
-        self.model = Model(model.weights.copy())
+        # Single precision: a step is bound by memory, and its rounding is far below the noise of the samples.
+        self.model = Model(model.weights.astype(np.float32))
         self.rng = np.random.default_rng(seed)
-        self.noise = (class_counts + 0.1) / (class_counts + 0.1).sum()
-        self.cumulated = np.cumsum(self.noise)
-        self.squares = np.full_like(model.weights, 1e-7)
+        noise = (class_counts + 0.1) / (class_counts + 0.1).sum()
+        self.cumulated = np.cumsum(noise)
+        self.log_noise = np.log(NOISE * noise).astype(np.float32)
+        self.squares = np.full_like(self.model.weights, 1e-7)
+        self.grad = np.zeros_like(self.model.weights)
 
     def step(self, seq: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
-        d, k = DIMENSIONS, len(self.noise)
+        d, k = DIMENSIONS, len(self.log_noise)
         inp, out, bias, c1, c2 = self.model.split()
         x1, x2 = inp[near], inp[far]
         q = x1 * c1 + x2 * c2
         drawn = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), k - 1)
-        log_noise = np.log(NOISE * self.noise)
+        own, samples = out[seq], out[drawn]
         # Probability that the token, or the sample, is data.
-        p = 1 / (1 + np.exp(-((q * out[seq]).sum(1) + bias[seq] - log_noise[seq])))
-        n = 1 / (1 + np.exp(-(q @ out[drawn].T + bias[drawn] - log_noise[drawn])))
+        p = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", q, own) + bias[seq] - self.log_noise[seq])))
+        n = 1 / (1 + np.exp(-(q @ samples.T + (bias[drawn] - self.log_noise[drawn]))))
         up = 1 - p
-        dq = up[:, None] * out[seq] - n @ out[drawn]
-        grad = np.zeros_like(self.model.weights)
+        dq = up[:, None] * own - n @ samples
+        grad = self.grad
+        grad.fill(0)
         _add_rows(grad[:, :d], np.concatenate([near, far]), np.concatenate([dq * c1, dq * c2]))
         _add_rows(grad[:, d : 2 * d], np.concatenate([seq, drawn]), np.concatenate([up[:, None] * q, -(n.T @ q)]))
         grad[:k, -1] += np.bincount(seq, up, k) - np.bincount(drawn, n.sum(0), k)
-        grad[-1, :d] = (dq * x1).sum(0)
-        grad[-1, d : 2 * d] = (dq * x2).sum(0)
-        grad /= len(seq)
-        self.squares += grad**2
-        self.model.weights += STEP * grad / np.sqrt(self.squares)
+        grad[-1, :d] = np.einsum("ij,ij->j", dq, x1)
+        grad[-1, d : 2 * d] = np.einsum("ij,ij->j", dq, x2)
+        # Rows that this step did not use have no gradient and stay as they are.
+        used = np.flatnonzero(grad.any(axis=1))
+        g = grad[used] / np.float32(len(seq))
+        squares = self.squares[used] + g * g
+        self.squares[used] = squares
+        self.model.weights[used] += np.float32(STEP) * g / np.sqrt(squares)
 
 
 def train_model(train: DataFrame, counts: Counts) -> Model:
@@ -230,7 +237,7 @@ def train_model(train: DataFrame, counts: Counts) -> Model:
                 learn(128 * BATCH)
         learn(1)
         if seen:
-            out = pd.DataFrame(trainer.model.weights, columns=[f"v{i}" for i in range(width)])
+            out = pd.DataFrame(trainer.model.weights.astype(float), columns=[f"v{i}" for i in range(width)])
             out.insert(0, "row", np.arange(len(out)))
             out.insert(1, "weight", float(seen))
             yield out

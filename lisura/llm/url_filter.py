@@ -57,10 +57,10 @@ def rule_of(rules: list[Rule]) -> tuple[Column, Column]:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(word, n) of the a-z words in the visible text of all pages."""
+    """(word, n) of the words in the visible text of all pages."""
     shown = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), "(?i)<(?:script|style)[^<]*|<[^<>]*>", " ")
     listed = pages.select(F.explode(F.split(ascii_lower(shown), "[^\\p{L}]+")).alias("word"))
-    return listed.where(F.col("word").rlike(f"^[a-z]{{1,{WORD}}}$")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return listed.where(F.length("word").between(1, WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_split(name: str, found: dict[tuple[int, int], int], total: int) -> list[str]:
@@ -107,11 +107,12 @@ def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def host_words(pages: DataFrame, counts: DataFrame) -> DataFrame:
-    """(host, host_words) of the distinct hosts."""
+    """(host, host_words) of the distinct hosts: the words of each name, in place and as often as they stand there."""
     hosts = checkpoint(pages.select("host").where(F.col("host") != "").distinct())
-    listed = hosts.select("host", F.explode(F.array_distinct(F.split("host", "[^a-z]+"))).alias("name")).where(F.col("name") != "")
+    listed = hosts.select("host", F.posexplode(F.split("host", "[^\\p{L}]+")).alias("at", "name")).where(F.col("name") != "")
     split = segment(listed.select("name").distinct(), counts)
-    return listed.join(split, "name").groupBy("host").agg(F.flatten(F.collect_list("words")).alias("host_words"))
+    placed = F.sort_array(F.collect_list(F.struct("at", "words")))
+    return listed.join(split, "name").groupBy("host").agg(F.flatten(F.transform(placed, lambda x: x["words"])).alias("host_words"))
 
 
 def path_tokens(path: Column) -> Column:

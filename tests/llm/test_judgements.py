@@ -116,7 +116,9 @@ def test_url_filter(spark):
     assert [(by[i].host, by[i].path) for i in range(400, 404)] == [("", "")] * 4
     assert (by[405].rule, by[406].rule, by[407].rule, by[408].rule, by[409].rule) == (None, "org/", None, None, "com/de/")
     assert by[409].path == "/de/é" and by[None].rule == "org/"
-    assert sorted(by[0].host_words) == ["buy", "cheap", "net", "pills"]
+    assert by[0].host_words == ["buy", "cheap", "pills", "net"]
+    twice = pages.unionByName(spark.createDataFrame([(500, "http://pills.cheappills.müller.net/", html, "mine")], pages.schema))
+    assert url_filter.judge(twice, jobs.URL_RULES).where("page_id = 500").first().host_words == ["pills", "cheap", "pills", "müller", "net"]
     assert url_filter.judge(pages.limit(0), jobs.URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.judge(pages.where("page_id between 200 and 240"), jobs.URL_RULES).collect()} == {"allow"}
 
