@@ -118,6 +118,23 @@ def latest_facts(facts: DataFrame, inserted: str) -> DataFrame:
     return keep_latest(facts, ["uf", "quarter", "item_id"], [inserted, "snapshot_id", "record_hash"])
 
 
+def latest_item_facts(items: DataFrame, inserted: str) -> DataFrame:
+    """One fact per (uf, quarter, item), the last inserted, straight from item rows.
+
+    Versions are reduced on their raw columns first; ids are hashed and numbers
+    converted for the rows that stay only.  Equal to ``latest_facts`` of
+    ``item_facts`` with ``inserted`` as the order of arrival.
+    """
+    key = {
+        "_uf": F.coalesce(X.blank_to_null(column(items, "uf_item")), _or_empty(items, "uf")), "_quarter": _or_empty(items, "quarter"),
+        "_pncp": _or_empty(items, "pncp_id"), "_record": _or_empty(items, "record_id"),
+    }
+    order = [F.col(inserted), _or_empty(items, "snapshot_id"), _or_empty(items, "record_hash")]
+    best = items.withColumns(key).groupBy(*key).agg(
+        F.max_by(F.struct(*[F.col(f"`{c}`") for c in items.columns]), F.struct(*order)).alias("_row"))
+    return item_facts(best.select("_row.*"))
+
+
 def new_items(items: DataFrame, written: DataFrame) -> DataFrame:
     """Items whose id is not in the written item table."""
     ids = written.select(F.col("id").alias("_id"))

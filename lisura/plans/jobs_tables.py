@@ -225,10 +225,7 @@ select uf, quarter, count(*) as n, round(sum(valor_total), 2)::double as valor f
   from (select *, concat('h', record_id) as record_hash from {v_item}) i) t where rn = 1 group by 1, 2""")
 def _(v):
     items = v.v_item.withColumn("record_hash", F.concat(F.lit("h"), "record_id"))
-    facts = EN.item_facts(items.withColumn("record_id", F.col("line_id"))).drop("publicado_em")
-    stamped = EN.item_facts(items.withColumns({"record_id": F.col("line_id"), "publicado_em": F.col("award_date").cast("timestamp")}))
-    latest = EN.latest_facts(stamped, "publicado_em")
-    assert len(facts.columns) == 24
+    latest = EN.latest_item_facts(items.withColumn("record_id", F.col("line_id")), "award_date")
     return latest.groupBy("uf", "quarter").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("valor_total"), 2).alias("valor"))
 
 

@@ -52,7 +52,7 @@ def slice_rows(df: DataFrame, cities: DataFrame | None = None) -> DataFrame:
     """Rows of covered municipalities, municipal sphere, not legislative.
 
     Without a municipality column nothing is filtered.  The city list is a
-    fixed table and is broadcast.
+    fixed table unless another is given; Spark sends it around if it is small.
     """
     have = {X.fold_name(c): c for c in df.columns}
 
@@ -65,7 +65,7 @@ def slice_rows(df: DataFrame, cities: DataFrame | None = None) -> DataFrame:
     sphere, power = first(SPHERE_NAMES), first(POWER_NAMES)
     kept = df.where(is_municipal(F.lit("M") if sphere is None else sphere, F.lit("") if power is None else power))
     cities = cities if cities is not None else fixed.municipalities(df.sparkSession)
-    listed = F.broadcast(cities.select(F.col("municipio_ibge").alias("_ibge")))
+    listed = cities.select(F.col("municipio_ibge").alias("_ibge"))
     return kept.withColumn("_ibge", ibge_token(code)).join(listed, "_ibge", "left_semi").drop("_ibge")
 
 

@@ -228,3 +228,16 @@ def test_normalize_uncoded_text_and_specs(spark):
     assert out["exact"].valor_por_unidade_canonica == Decimal("5") and out["spec"].valor_por_unidade_canonica is None
     assert out["empty"].quantidade == 0 and out["empty"].unidade_canonica == "unknown"
     assert tuple(out["near"].asDict()) == N.ITEM_COLUMNS and len(N.ITEM_COLUMNS) == 49
+
+
+def test_facts_reduced_before_or_after_hashing_are_equal(spark):
+    from lisura.operators import entities as EN
+    from lisura.plans.views import Views
+
+    items = Views(spark, "/root/testdata/sf0.001").v_item.withColumn("record_id", F.col("line_id")).withColumn(
+        "record_hash", F.concat("snapshot_id", "valor_total"))
+    stamped = items.withColumn("publicado_em", F.col("award_date").cast("timestamp"))
+    late, early = EN.latest_facts(EN.item_facts(stamped), "publicado_em"), EN.latest_item_facts(stamped, "publicado_em")
+    assert len(early.columns) == 25 and set(late.columns) == set(early.columns)
+    keys = ["item_id", "uf", "quarter", "snapshot_id", "publicado_em", "record_hash"]
+    assert sorted(map(tuple, late.select(*keys).collect())) == sorted(map(tuple, early.select(*keys).collect()))
