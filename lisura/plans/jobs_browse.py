@@ -242,9 +242,11 @@ def _(v):
 
 
 @job("single_valued_labels", """
-select count(*) as n, 'NATION_5' as uf, '' as quarter from {v_line} where uf = 'NATION_5'""")
+select 'one' as what, count(*) as n, 'NATION_5' as uf, '' as quarter from {v_line} where uf = 'NATION_5'
+union all select 'all', count(*), '', '' from {v_line}""")
 def _(v):
-    return CO.single_labels(v.v_line.where(F.col("uf") == "NATION_5"))
+    one, every = CO.single_labels(v.v_line.where(F.col("uf") == "NATION_5")), CO.single_labels(v.v_line)
+    return one.select(F.lit("one").alias("what"), "*").unionByName(every.select(F.lit("all").alias("what"), "*"))
 
 
 @job("coverage_report", f"""

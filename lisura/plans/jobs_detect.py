@@ -159,6 +159,17 @@ def _(v):
     return EX.detect_data_errors(v.v_item).select("record_id", "reason")
 
 
+@job("exclusions_all_priced", f"""
+{SQL_ALL} union all
+select record_id, 'catalog_magnitude' as reason from {{v_item}} join {{part}} on catmat = cast(p_partkey as string)
+where p_partkey % 3 = 0 and valor_unitario > 0 and (cast(valor_unitario as double) > 100 * p_retailprice / 250 or cast(valor_unitario as double) * 100 < p_retailprice / 250)""")
+def _(v):
+    """All reasons with a price table, whose prices are a 250th of the list for a third of the codes."""
+    prices = v.part.where("p_partkey % 3 = 0").select(
+        F.col("p_partkey").cast("string").alias("codigo"), (F.col("p_retailprice") / 250).cast("decimal(18,6)").alias("preco"))
+    return EX.detect_data_errors(v.v_item, prices).select("record_id", "reason")
+
+
 @job("comparable_items", f"""
 with shifted as ({SQL_SHIFT}),
 found as ({ALL_ERRORS} union all select record_id, reason from shifted)

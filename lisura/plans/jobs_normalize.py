@@ -137,6 +137,21 @@ def _(v):
     return out.select("unidade_medida", "unidade_canonica", "fator")
 
 
+@job("unit_match_sizes", """
+with t as (select l_partkey + 1 as n, l_linenumber % 4 as k from {lineitem}),
+u as (select distinct n, k from t)
+select case k when 0 then concat('Caixa c/ ', n, ' UN') when 1 then concat('resma ', n, ' Folhas') when 2 then concat('frasco ', n, ',5 ml') else concat('FARDO/', n, ' kg.') end as unidade_medida,
+  case k when 0 then 'un' when 1 then 'folha' when 2 then 'l' else 'kg' end as unidade_canonica,
+  case k when 2 then round((n + 0.5) * 0.001, 6)::double else n::double end as fator from u""")
+def _(v):
+    """Packs of every size that the lines have."""
+    k, n = F.col("l_linenumber") % 4, (F.col("l_partkey") + 1).cast("string")
+    text = (
+        F.when(k == 0, F.concat(F.lit("Caixa c/ "), n, F.lit(" UN"))).when(k == 1, F.concat(F.lit("resma "), n, F.lit(" Folhas")))
+        .when(k == 2, F.concat(F.lit("frasco "), n, F.lit(",5 ml"))).otherwise(F.concat(F.lit("FARDO/"), n, F.lit(" kg."))))
+    return match_units(v.lineitem.select(text.alias("unidade_medida"))).select("unidade_medida", "unidade_canonica", "fator")
+
+
 @job("spec_fields", """
 select p_partkey, case when p_size % 4 = 0 then concat(p_size, 'mg/ml') end as spec_concentracao,
   case when p_size % 4 = 1 then concat(p_size, ',5mg') when p_size % 4 = 2 then concat(p_size, 'comprimidos') end as spec_dosagem,
@@ -274,13 +289,14 @@ def _(v):
 
 @job("classifier_cache", f"""
 with {KNN}
-select concat(sha256(q), ':') as hash, case when s1 >= 0.72 and s1 - s2 >= 0.18 then codigo end as catmat
+select concat(sha256(q), ':') as hash, case when s1 >= 0.72 and s1 - s2 >= 0.18 then codigo end as catmat,
+  round(s1, 6) as top1, round(s2, 6) as top2
 from best where hash(q) is not null and length(q) % 2 = 0""")
 def _(v):
     """Only texts that are not in the cache are scored."""
     asked = knn_queries(v)
     cached = asked.where(F.length("folded") % 2 == 1).select(K.description_key(F.col("folded"), F.col("kind")).alias("hash"))
-    return K.score_new(asked, plain_catalog(v), cached).select("hash", "catmat")
+    return K.score_new(asked, plain_catalog(v), cached).select("hash", "catmat", F.round("top1", 6).alias("top1"), F.round("top2", 6).alias("top2"))
 
 
 # ---- ids, hashes, privacy ------------------------------------------------------
