@@ -3,22 +3,29 @@
 A mask checks some positions of a short window of words and ignores the
 others.  The hash of the checked words is a seed; documents and benchmark
 items are joined on seeds, so a passage is found although words at ignored
-positions were replaced.  Around each hit the document is laid beside the item
-and the best run of aligned words is taken (a match counts 1, another word
--3).  A pair is reported when that run matches ``least`` words, or four fifths
-of the words of an item that is shorter.
+positions were replaced.  For each hit the document is laid beside the whole
+item and the runs of aligned words are measured (a match counts 1, another
+word -3; a run ends where its sum is spent).  A pair is reported when a run
+matches ``least`` words.  An item of fewer words is reported when four fifths
+of them match, counted over the whole item.
+
+Items of fewer than ``SHORT`` words have masks of their own length, which leave
+out every choice of fifths that the rule of four fifths allows to differ; each
+place where the rule holds is found, also at the edges of a document.  Items
+of fewer than ``WHOLE`` words are no passage: they match a document that
+consists of the same words.
 
 DataFrame functions only.  Words are lower-cased runs of letters and digits.
 
-Cases: null and empty texts, and items of fewer than ``SHORTEST`` words, match
-nothing; items shorter than the masks are compared whole, as one seed of all
-their words; repeated rows give one row; a null doc_id or item_id is reported
-as null; an empty table gives no rows; other columns are ignored.
+Cases: null and empty texts match nothing; repeated rows give one row; a null
+doc_id or item_id is reported as null; an empty table gives no rows; other
+columns are ignored; a hit carries as many words as its item has.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +33,8 @@ from pyspark.sql import functions as F
 #: 1: the word counts for the seed; 0: it is ignored.  Ten words each, seven of them checked.
 MASKS = ("1101011011", "1011100111")
 SPAN = 10
-#: Fewer words are no evidence.
-SHORTEST = 5
-#: Words beside a hit that are laid beside the item, to either side.
-AROUND = 40
+#: Items of fewer words have masks of their own length; of fewer words than ``WHOLE``, they are compared with whole texts.
+SHORT, WHOLE = 13, 5
 #: Seeds of the benchmark that are sent to every task at most, and the characters of its items; beyond it, both sides are shuffled.
 SMALL_SEEDS, SMALL_CHARS = 200_000, 16_000_000
 
@@ -44,22 +49,35 @@ def _seed(words: Column, at: Column, places: list[int], name: int) -> Column:
     return F.xxhash64(F.lit(name), *[F.get(words, at + k) for k in places])
 
 
-def _seeds(rows: DataFrame, lengths: list[int], own_length: bool) -> list[DataFrame]:
-    """Every (seed, at) of ``words``: one per mask and place, and whole runs of the lengths of short items.
+def short_masks(length: int) -> list[list[int]]:
+    """Places that each mask of a short item checks: all but one choice of its fifths, as many as may differ."""
+    gone = combinations(range(5), length // 5)
+    return [[k for k in range(length) if k % 5 not in out] for out in gone]
 
-    ``own_length``: a run must be the row's whole text (the benchmark's side).
+
+def _seeds(rows: DataFrame, lengths: list[int], items: bool) -> list[DataFrame]:
+    """Every (seed, at) of ``words``: one per mask and place, and those of the lengths of short items.
+
+    ``items``: rows are items, whose own length decides; else documents, in
+    which an item may begin before the first word or end after the last one,
+    by as many words as may differ (absent words are not hashed).
     The frames are to be narrowed or joined before they are stacked: a row of
     each place of a long text would otherwise be held with all its words.
     """
     places = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
     n = F.size("words")
     masked = F.array(*[_seed(F.col("words"), F.col("at"), p, k) for k, p in enumerate(places)])
-    every = rows.where(n >= SPAN).withColumn("at", F.explode(F.sequence(F.lit(0), n - SPAN)))
+    every = rows.where(n >= (SHORT if items else SPAN)).withColumn("at", F.explode(F.sequence(F.lit(0), n - SPAN)))
     found = [every.withColumn("seed", F.explode(masked))]
     for length in lengths:
-        fits = rows.where(n == length if own_length else n >= length)
-        runs = fits.withColumn("at", F.explode(F.sequence(F.lit(0), n - length)))
-        found.append(runs.withColumn("seed", _seed(F.col("words"), F.col("at"), list(range(length)), 100 + length)))
+        over = length // 5
+        fits = rows.where(n == length if items or length < WHOLE else n >= length - over)
+        if items or length < WHOLE:
+            runs = fits.withColumn("at", F.lit(0))
+        else:
+            runs = fits.withColumn("at", F.explode(F.sequence(F.lit(-over), n - length + over)))
+        own = [_seed(F.col("words"), F.col("at"), p, 100 * length + k) for k, p in enumerate(short_masks(length))]
+        found.append(runs.withColumn("seed", F.explode(F.array(*own))))
     return found
 
 
@@ -68,9 +86,9 @@ def _stacked(frames: list[DataFrame]) -> DataFrame:
 
 
 def _best_run(flags: Column) -> Column:
-    """(matched, words) of the run of aligned words with the highest score."""
+    """(matched, words) of the run that matches most words, each run cut at its highest sum."""
     zero = "cast(0 as int)"
-    kind = "struct<score:int,matched:int,words:int,best:int,best_matched:int,best_words:int>"
+    kind = "struct<score:int,matched:int,words:int,peak:int,best_matched:int,best_words:int>"
     start = F.expr(f"cast(struct({', '.join([zero] * 6)}) as {kind})")
 
     def step(s: Column, hit: Column) -> Column:
@@ -78,11 +96,10 @@ def _best_run(flags: Column) -> Column:
         goes_on = score > 0
         matched = F.when(goes_on, s["matched"] + hit.cast("int")).otherwise(F.lit(0))
         length = F.when(goes_on, s["words"] + 1).otherwise(F.lit(0))
-        score = F.greatest(score, F.lit(0))
-        better = score > s["best"]
+        better = (score > s["peak"]) & (matched > s["best_matched"])
         return F.struct(
-            score.alias("score"), matched.alias("matched"), length.alias("words"),
-            F.when(better, score).otherwise(s["best"]).alias("best"),
+            F.greatest(score, F.lit(0)).alias("score"), matched.alias("matched"), length.alias("words"),
+            F.when(goes_on, F.greatest(score, s["peak"])).otherwise(F.lit(0)).alias("peak"),
             F.when(better, matched).otherwise(s["best_matched"]).alias("best_matched"),
             F.when(better, length).otherwise(s["best_words"]).alias("best_words"),
         ).cast(kind)
@@ -114,16 +131,16 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, least: int = 13) -
 def _verified(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
     """Verified overlaps: doc_id, hash of the text, item_id, item_words, matched, aligned."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_words(F.col("text")).alias("words"))
-    items = items.where(F.size("words") >= SHORTEST).distinct()
+    items = items.where(F.size("words") > 0).distinct()
     size = items.agg(
         F.coalesce(F.sum(F.size("words") * len(MASKS)), F.lit(0)).alias("seeds"),
         F.coalesce(F.sum(F.length(F.concat_ws(" ", "words"))), F.lit(0)).alias("chars"),
-        F.collect_set(F.when(F.size("words") < SPAN, F.size("words"))).alias("short"),
+        F.collect_set(F.when(F.size("words") < SHORT, F.size("words"))).alias("short"),
     ).first()
     small = size["seeds"] <= SMALL_SEEDS and size["chars"] <= SMALL_CHARS
     share = F.broadcast if small else (lambda df: df)
     keyed = items.withColumn("item", F.xxhash64("item_id", "words"))
-    keys = [k.select("seed", F.col("at").alias("item_at"), "item") for k in _seeds(keyed, sorted(size["short"]), True)]
+    keys = [k.select("seed", F.col("at").alias("item_at"), "item", F.size("words").alias("item_size")) for k in _seeds(keyed, sorted(size["short"]), True)]
     keys = _stacked(keys).distinct()
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("hash"),
@@ -137,12 +154,12 @@ def _verified(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
         met = narrow.join(keys, "seed").distinct().alias("m")
         own = rows.alias("r")
         same = (F.col("m.hash") == F.col("r.hash")) & F.col("m.doc_id").eqNullSafe(F.col("r.doc_id"))
-        hits = own.join(met, same).select("r.doc_id", "r.hash", "r.words", "m.at", "m.item_at", "m.item")
-    # Only the words beside the hit go on, at most 2 * AROUND + 1 of them.
-    back = F.least("at", "item_at", F.lit(AROUND))
+        hits = own.join(met, same).select("r.doc_id", "r.hash", "r.words", "m.at", "m.item_at", "m.item", "m.item_size")
+    # Only the words beside the item go on, once for each way of laying them.
+    item_from, doc_from = F.greatest(F.col("item_at") - F.col("at"), F.lit(0)), F.greatest(F.col("at") - F.col("item_at"), F.lit(0))
     hits = hits.select(
-        "doc_id", "hash", "item", (F.col("item_at") - back).alias("item_from"), (F.col("at") - back).alias("doc_from"),
-        F.slice("words", F.col("at") - back + 1, back + AROUND + 1).alias("beside"),
+        "doc_id", "hash", "item", item_from.alias("item_from"), doc_from.alias("doc_from"),
+        F.slice("words", doc_from + 1, F.col("item_size") - item_from).alias("beside"),
     ).dropDuplicates(["doc_id", "hash", "item", "item_from", "doc_from", "beside"])
     named = share(keyed.select("item", "item_id", F.col("words").alias("item_words")))
     laid = hits.join(named, "item")
@@ -150,10 +167,12 @@ def _verified(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
     n = F.least(F.size(part), F.size("beside"))
     equal = F.zip_with(F.slice("beside", F.lit(1), n), F.slice(part, F.lit(1), n), lambda a, b: a == b)
     whole = F.size("item_words")
-    judged = laid.select("doc_id", "hash", "item_id", whole.alias("item_words"), _best_run(equal).alias("run"))
+    judged = laid.select("doc_id", "hash", "item_id", whole.alias("item_words"), equal.alias("equal"), _best_run(equal).alias("run"))
+    small_item = F.col("item_words") < least
     judged = judged.select(
         "doc_id", "hash", "item_id", "item_words",
-        F.col("run.best_matched").alias("matched"), F.col("run.best_words").alias("aligned"),
+        F.when(small_item, F.size(F.filter("equal", lambda e: e))).otherwise(F.col("run.best_matched")).alias("matched"),
+        F.when(small_item, F.size("equal")).otherwise(F.col("run.best_words")).alias("aligned"),
     )
-    enough = (F.col("matched") >= least) | ((F.col("item_words") < least) & (5 * F.col("matched") >= 4 * F.col("item_words")))
-    return judged.where(enough)
+    rule = (F.col("matched") >= least) | (small_item & (5 * F.col("matched") >= 4 * F.col("item_words")))
+    return judged.where(rule & ((F.col("item_words") >= WHOLE) | (F.col("matched") == F.col("item_words"))))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lisura.llm.common import LOWER, UPPER
-from lisura.llm.decontamination import AROUND, MASKS, SHORTEST, SPAN
+from lisura.llm.decontamination import MASKS, SHORT, SPAN, WHOLE
 from lisura.llm.filter_audit import CAPITAL_PERCENT, DISTINCT_PERCENT, MIN_WORDS, SYMBOLS
 from lisura.llm.manifest import FIELDS
 from lisura.llm.secrets import BASE, KINDS, SCOPE
@@ -97,30 +97,32 @@ def _plain_words(name: str) -> str:
 OP6 = f"""
 with d as (select doc_id, {_plain_words("text")} as w from documents),
 it as (select distinct item_id, {_plain_words("text")} as w from benchmark),
-items as (select * from it where len(w) >= {SHORTEST}),
+items as (select * from it where len(w) > 0),
 dp as (select doc_id, w, unnest(range(0, len(w))) as pos from d),
-ip as (select item_id, w, unnest(range(0, len(w) - {SPAN} + 1)) as pos from items where len(w) >= {SPAN}),
+ip as (select item_id, w, unnest(range(0, len(w) - {SPAN} + 1)) as pos from items where len(w) >= {SHORT}),
 ds as ({" union all ".join(f"select *, '{m}' as mask, {_masked('w', 'pos', m)} as seed from dp where pos <= len(w) - {SPAN}" for m in MASKS)}),
 ik as ({" union all ".join(f"select *, '{m}' as mask, {_masked('w', 'pos', m)} as seed from ip" for m in MASKS)}),
-short as (select item_id, w, 0 as pos from items where len(w) < {SPAN}),
+few as (select item_id, w, unnest(range(0, len(w))) as pos from items where len(w) < {SHORT}),
 hits as (
-  select ds.doc_id, ds.w, ds.pos, ik.item_id, ik.w as iw, ik.pos as item_at from ds join ik on ds.mask = ik.mask and ds.seed = ik.seed
-  union select dp.doc_id, dp.w, dp.pos, short.item_id, short.w, 0 from dp join short
-    on dp.w[dp.pos + 1] = short.w[1] and dp.w[dp.pos + 1:dp.pos + len(short.w)] = short.w),
-laid as (select distinct doc_id, item_id, w, iw, pos, item_at, pos - least(pos, item_at, {AROUND}) as f, item_at - least(pos, item_at, {AROUND}) as g from hits),
-flags as (select doc_id, item_id, pos, item_at, len(iw) as item_words, k, w[f + k + 1] = iw[g + k + 1] as hit
-  from (select *, unnest(range(0, least(len(iw) - g, len(w) - f, pos + {AROUND} + 1 - f))) as k from laid)),
+  select ds.doc_id, ds.w, ds.pos - ik.pos as diagonal, ik.item_id, ik.w as iw from ds join ik on ds.mask = ik.mask and ds.seed = ik.seed
+  union select dp.doc_id, dp.w, dp.pos - few.pos, few.item_id, few.w from dp join few on dp.w[dp.pos + 1] = few.w[few.pos + 1]),
+laid as (select doc_id, item_id, w, iw, row_number() over () as lay, greatest(diagonal, 0) as f, greatest(-diagonal, 0) as g
+  from hits where len(iw) >= {WHOLE} or w = iw and diagonal = 0),
+flags as (select doc_id, item_id, lay, len(iw) as item_words, k, w[f + k + 1] = iw[g + k + 1] as hit
+  from (select *, unnest(range(0, least(len(iw) - g, len(w) - f))) as k from laid)),
 sums as (select *, sum(case when hit then 1 else -3 end) over o as s, sum(hit::int) over o as h
-  from flags window o as (partition by doc_id, item_id, pos, item_at order by k)),
-lows as (select *, s <= least(0, coalesce(min(s) over (partition by doc_id, item_id, pos, item_at order by k rows between unbounded preceding and 1 preceding), 0)) as low from sums),
-runs as (select *, s - coalesce(min(s) filter (low) over o, 0) as score, h - coalesce(max(h) filter (low) over o, 0) as matched,
-    k - coalesce(max(k) filter (low) over o, -1) as aligned
-  from lows window o as (partition by doc_id, item_id, pos, item_at order by k)),
-best as (select doc_id, item_id, item_words, matched, aligned,
-  row_number() over (partition by doc_id, item_id, pos, item_at order by score desc, k) as r from runs),
-enough as (select * from best where r = 1 and (matched >= 13 or item_words < 13 and 5 * matched >= 4 * item_words))
+  from flags window o as (partition by lay order by k)),
+lows as (select *, s <= least(0, coalesce(min(s) over (partition by lay order by k rows between unbounded preceding and 1 preceding), 0)) as low from sums),
+runs as (select *, max(k) filter (low) over o as run, s - coalesce(min(s) filter (low) over o, 0) as score,
+    h - coalesce(max(h) filter (low) over o, 0) as run_matched, k - coalesce(max(k) filter (low) over o, -1) as run_aligned
+  from lows window o as (partition by lay order by k)),
+peaks as (select *, row_number() over (partition by lay, run order by score desc, k) as r from runs),
+judged as (
+  select doc_id, item_id, item_words, run_matched as matched, run_aligned as aligned from peaks where r = 1 and item_words >= 13
+  union all select any_value(doc_id), any_value(item_id), any_value(item_words), sum(hit::int), count(*) from flags where item_words < 13 group by lay),
+enough as (select * from judged where matched >= 13 or item_words < 13 and 5 * matched >= 4 * item_words)
 select doc_id, item_id, item_words::bigint as item_words, max(matched)::bigint as matched,
-  arg_max(aligned, matched * 1000 - aligned)::bigint as aligned
+  arg_max(aligned, matched * 1000000 - aligned)::bigint as aligned
 from enough group by 1, 2, 3"""
 
 OP12 = f"""

@@ -177,10 +177,11 @@ def test_decontamination_tolerates_substitutions(spark, docs_of, monkeypatch):
     rows = [(i, around(w).upper() if i % 2 else around(w).replace(" ", ",\n")) for i, w in items.items()]
     rows += [(11, around(changed(items[1], 9))), (12, around(items[1][:16])), (13, around(items[1][:8])),
              (14, " ".join(items[3])), (15, None), (16, ""), (17, LONG), (18, around(items[1] + items[2])),
-             (18, around(items[2])), (19, around(changed(items[1], 2))), (None, around(items[2]))]
+             (18, around(items[2])), (19, around(changed(items[1], 2))), (None, around(items[2])),
+             (20, around(changed(items[5], 4))), (21, " ".join(items[7]))]
     bench = spark.createDataFrame(
         [(i, " ".join(w), 1) for i, w in items.items()] + [(90, None, 1), (91, "", 1)], "item_id long, text string, matched int")
-    want = sorted([(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (11, 1), (12, 1), (14, 3), (18, 1), (18, 2), (None, 2)], key=str)
+    want = sorted([(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (11, 1), (12, 1), (14, 3), (18, 1), (18, 2), (20, 5), (21, 7), (None, 2)], key=str)
     found = decontamination.contaminated(docs_of(rows), bench)
     assert sorted(((r.doc_id, r.item_id) for r in found.collect()), key=str) == want
     # The way for a benchmark that is too large to send.
@@ -189,3 +190,55 @@ def test_decontamination_tolerates_substitutions(spark, docs_of, monkeypatch):
     assert sorted(((r.doc_id, r.item_id) for r in found.collect()), key=str) == want
     assert decontamination.contaminated(docs_of([]), bench).count() == 0
     assert decontamination.contaminated(docs_of(rows), bench.limit(0)).count() == 0
+
+
+def _plain_runs(equal):
+    """(matched, -aligned) of the run that matches most words."""
+    best, score, peak, matched, words = (0, 0), 0, 0, 0, 0
+    for e in equal:
+        score, matched, words = score + (1 if e else -3), matched + e, words + 1
+        if score <= 0:
+            score = peak = matched = words = 0
+        elif score > peak:
+            peak, best = score, max(best, (matched, -words))
+    return best
+
+
+def _plain_overlaps(rows, items, least=13):
+    """Every way of laying every item beside every document."""
+    found = {}
+    for doc, text in rows:
+        words = re.findall(r"[a-z0-9]+", (text or "").lower())
+        for item, wanted in items.items():
+            n = len(wanted)
+            for d in range(1 - n, len(words)):
+                equal = [words[d + k] == wanted[k] for k in range(n) if 0 <= d + k < len(words)]
+                got = (sum(equal), -len(equal)) if n < least else _plain_runs(equal)
+                ok = got[0] >= least if n >= least else words == wanted if n < 5 else 5 * got[0] >= 4 * n
+                if ok:
+                    found[doc, item] = max(found.get((doc, item), (0, 0)), got)
+    return {(d, i, len(items[i]), m, -a) for (d, i), (m, a) in found.items()}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_decontamination_measures_whole_overlaps(spark, docs_of, monkeypatch, small):
+    """Long runs to their ends; each place of short items where four fifths match, at the edges too."""
+    if not small:
+        monkeypatch.setattr(decontamination, "SMALL_SEEDS", 0)
+    rng = random.Random(11)
+    items = {n: [f"w{rng.randrange(9)}" if n < 13 else f"v{rng.randrange(900)}" for _ in range(n)] for n in (*range(1, 14), 30, 200)}
+    rows = [(1, " ".join(items[200])), (2, "x " + " ".join(f"z{k}" if k % 5 == 4 else w for k, w in enumerate(items[200]))),
+            (3, " ".join(items[200][:90] + ["q"] * 60 + items[200][150:])), (4, " ".join(items[30] * 3))]
+    for n in range(1, 13):
+        for k in range(12):
+            words = list(items[n])
+            for at in rng.sample(range(n), min(n, k % 4)):
+                words[at] = "y"
+            cut = words[k % 3 :] if k % 2 else words[: n - k % 3]
+            pad = [f"w{rng.randrange(9)}" for _ in range(rng.choice((0, 0, 2, 30)))]
+            rows.append((100 * n + k, " ".join(pad + cut if k % 2 == 0 else cut + pad)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {tuple(r) for r in decontamination.contaminated(docs_of(rows), bench).select(
+        "doc_id", "item_id", "item_words", "matched", "aligned").collect()}
+    assert got == _plain_overlaps(rows, items)
+    assert {(1, 200, 200, 200, 200), (2, 200, 200, 160, 199)} <= got
