@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 6)
 WIDE = T.DecimalType(38, 12)
+#: Runs of white space, the separators of files and records among them.
+BLANK = "(?U)[\\s\\x1c-\\x1f]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -26,49 +28,61 @@ def column(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
+#: Characters that no text holds: they stand before a letter and before its expansion.
+_LETTER, _MEANS = "\ufdd0", "\ufdd1"
+
+
 @lru_cache(maxsize=1)
-def _plain_letters() -> tuple[str, str]:
-    """Characters whose compatibility decomposition, less marks, is one character."""
-    wide, plain = [], []
-    for start, stop in ((0xA0, 0x2190), (0xFF00, 0xFFF0)):
-        for code in range(start, stop):
-            ch = chr(code)
-            base = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
-            if len(base) == 1 and base != ch:
-                wide.append(ch)
-                plain.append(base)
-    return "".join(wide), "".join(plain)
-
-
-# The compatibility characters seen in catalog text that
-# decompose to more than one plain character.
-EXPANSIONS = {
-    "½": "1⁄2",
-    "¼": "1⁄4",
-    "¾": "3⁄4",
-    "ﬁ": "fi",
-    "ﬂ": "fl",
-    "…": "...",
-    "™": "TM",
-    "№": "No",
-}
+def _letters() -> tuple[str, str, str, str]:
+    """Characters that decompose to one plain one or to none, the plain ones, those of several, and what each of these means."""
+    wide, plain, marks, long, means = [], [], [], [], []
+    for code in range(0x80, 0x110000):
+        if 0xAC00 <= code < 0xE000:  # Hangul syllables stay whole; surrogates are no characters
+            continue
+        ch = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+        if len(base) > 1:
+            long.append(code)
+            means.append(f"{_LETTER}{ch}{_MEANS}{base}")
+        elif not base:
+            marks.append(ch)
+        elif base != ch:
+            wide.append(ch)
+            plain.append(base)
+    spans: list[list[int]] = []
+    for code in long:
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    some = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+    # Marks come last: characters beyond the end of the plain ones are dropped.
+    return "".join(wide + marks), "".join(plain), some, "".join(means) + _LETTER
+
+
+def _expand(c: Column) -> Column:
+    """Ligatures, fractions, squared units and the like, written out.
+
+    The meanings are put behind the text, where one pattern finds that of
+    each letter; so this stays one built-in expression.
+    """
+    _, _, some, means = _letters()
+    one = f"(?s)\\G([^{_LETTER}{some}]*+)([{some}])(?=.*?{_LETTER}\\2{_MEANS}([^{_LETTER}]*+))"
+    full = F.regexp_replace(F.concat(c, F.lit(means)), one, "$1$3")
+    return F.when(c.rlike(f"[{some}]"), F.substring(full, F.lit(1), F.char_length(full) - len(means))).otherwise(c)
 
 
 def unaccent(c: Column | str) -> Column:
-    """Compatibility-decompose and drop combining marks (case is kept)."""
+    """Compatibility-decompose and drop combining marks (case is kept; Hangul syllables are not taken apart)."""
     c = _col(c)
-    wide, plain = _plain_letters()
-    bare = c
-    for ch, text in EXPANSIONS.items():
-        bare = F.replace(bare, F.lit(ch), F.lit(text))
-    bare = F.regexp_replace(F.translate(bare, wide, plain), "[\\u0300-\\u036f]", "")
+    wide, plain, _, _ = _letters()
     # Plain text, the usual case, pays for one pattern test only.
-    return F.when(c.rlike("[^\\x00-\\x7f]"), bare).otherwise(c)
+    return F.when(c.rlike("[^\\x00-\\x7f]"), F.translate(_expand(c), wide, plain)).otherwise(c)
 
 
 def fold(c: Column | str) -> Column:
     """Accent-free, single-spaced, trimmed, lower case; null becomes ''."""
-    return F.lower(F.trim(F.regexp_replace(unaccent(F.coalesce(_col(c), F.lit(""))), "(?U)\\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(unaccent(F.coalesce(_col(c), F.lit(""))), BLANK, " ")))
 
 
 def fold_name(name: str) -> str:

@@ -1,6 +1,8 @@
 """Small planted frames with exact expected results."""
 
 import datetime as dt
+import re
+import unicodedata
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -16,6 +18,20 @@ from lisura.operators import screens as SC
 from lisura.operators.units import match_units
 
 
+def test_fold_equals_plain_version_for_every_character(spark):
+    def plain(text):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x))
+        return re.sub(r"\s+", " ", bare).strip()
+
+    codes = [c for c in range(1, 0x110000) if not 0xAC00 <= c < 0xE000 and c not in (0xFDD0, 0xFDD1)]
+    every = [f"x{chr(c)}\n{chr(c)}" for c in codes if unicodedata.category(chr(c)) != "Cn"]
+    texts = [*every, "5 ㎎ e 10 ㏄, ½ dose ﬁna…™ Ação №7", "㎎" * 3000, "", "㌖ \ufdfa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(8, "i")
+    got = dict(df.select("i", F.trim(F.regexp_replace(X.unaccent("t"), X.BLANK, " "))).collect())
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != plain(t)] == []
+    assert dict(df.select("i", X.fold("t")).collect())[len(every)] == "5 mg e 10 cc, 1⁄2 dose fina...tm acao no7"
+
+
 def test_decimal_date_and_fold_forms(spark):
     texts = ["1.234,56", "1,234.56", "12,5", "1.5", " - ", "nan", "", "1,2,3", "abc"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.parse_decimal("t")).collect()]
