@@ -53,8 +53,13 @@ def matching(docs: DataFrame, q: str | None) -> DataFrame:
 
 def search_totals(docs: DataFrame, q: str | None) -> DataFrame:
     """(kind, total) of matches for each of the three kinds, zero included."""
-    kinds = docs.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")
-    counts = matching(docs, q).groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
+    return totals_of(matching(docs, q))
+
+
+def totals_of(hits: DataFrame) -> DataFrame:
+    """(kind, total) of hits for each of the three kinds, zero included."""
+    kinds = hits.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")
+    counts = hits.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
     return kinds.join(counts, "kind", "left").withColumn("total", F.coalesce("total", F.lit(0)))
 
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lisura.operators import entities as EN
+from lisura.operators import search as SE
+from lisura.operators import search_index as SI
 from lisura.plans.jobs import job
-from lisura.plans.jobs_browse import REPLAY
+from lisura.plans.jobs_browse import DOCS, REPLAY, tables
 from lisura.session import new_folder
 from lisura.sources import delimited as DE
 from lisura.sources import landing as LA
@@ -233,6 +235,31 @@ def _(v):
     return LA.read_landed(spark, f"{folder}/root", "api").groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- search by index -----------------------------------------------------------------
+
+
+def _indexed(v):
+    """Folder of an index over all documents, in small places and parts, so that the samples have several."""
+    root = new_folder(v.documents.sparkSession)
+    SI.write_index(SE.search_documents(tables(v)), root, place_rows=500, part_rows=20_000)
+    return root
+
+
+@job("search_index_totals", f"""
+with {DOCS}, kinds as (select * from (values ('orgao'), ('fornecedor'), ('item')) k(kind))
+select kinds.kind, count(docs.id) as total from kinds left join docs on docs.kind = kinds.kind and lower(text) like '%bolt%'
+group by 1""")
+def _(v):
+    return SI.index_totals(v.documents.sparkSession, _indexed(v), "BÓLT")
+
+
+@job("search_index_page", f"""
+with {DOCS}, ranked as (select *, row_number() over (partition by kind order by lower(text), id) as rank from docs where lower(text) like '%bolt%')
+select id, kind, "entityId", text, rank from ranked where rank > 30 and rank <= 500""")
+def _(v):
+    return SI.index_page(v.documents.sparkSession, _indexed(v), "BÓLT", skip=30, take=470)
+
+
 @job("lifecycle_stream", f"""
 with recursive {REPLAY}
 select event_id, from_state, accepted, case when accepted then state end as to_state from walk where k > 0""")

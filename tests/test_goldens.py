@@ -1,6 +1,7 @@
 """Small planted frames with exact expected results."""
 
 import datetime as dt
+import random
 import re
 import unicodedata
 from decimal import Decimal
@@ -15,6 +16,8 @@ from lisura.operators import graph as G
 from lisura.operators import normalize as N
 from lisura.operators import participants as PA
 from lisura.operators import screens as SC
+from lisura.operators import search as SE
+from lisura.operators import search_index as SI
 from lisura.operators.units import match_units
 
 
@@ -257,3 +260,25 @@ def test_facts_reduced_before_or_after_hashing_are_equal(spark):
     assert len(early.columns) == 25 and set(late.columns) == set(early.columns)
     keys = ["item_id", "uf", "quarter", "snapshot_id", "publicado_em", "record_hash"]
     assert sorted(map(tuple, late.select(*keys).collect())) == sorted(map(tuple, early.select(*keys).collect()))
+
+
+def test_search_by_index_equals_search(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["parafuso", "Ação", "BOLT", "ﬁltro", "caneta", "㎎", "x"]
+    rows = [(f"item_{i}", "item", str(i), " ".join(rng.choice(words) for _ in range(rng.randrange(6)))) for i in range(300)]
+    rows += [("orgao_1", "orgao", "1", "Prefeitura acao"), (None, "orgao", "2", None), ("item_7", "item", "7", "rare agulha"), rows[5], rows[5]]
+    docs = spark.createDataFrame(rows, "id string, kind string, entityId string, text string")
+    root = str(tmp_path / "index")
+    SI.write_index(docs.limit(0), root)
+    assert SI.index_page(spark, root, "bolt").count() == 0
+    SI.write_index(docs, root, place_rows=20, part_rows=300)
+    shown = ["id", "kind", "entityId", "text", "rank"]
+    for q in ("bolt", "AÇÃO fil", "afuso caneta", "mg", "x", "agulha", "bolt bolt b", "zzz", "agulha bolt", "", None):
+        for skip, take in ((0, 5), (37, 40), (500, 5)):
+            want = sorted(map(tuple, SE.search(docs, q, skip, take).select(shown).collect()), key=str)
+            assert sorted(map(tuple, SI.index_page(spark, root, q, skip, take).select(shown).collect()), key=str) == want, (q, skip)
+        assert sorted(SI.index_totals(spark, root, q).collect()) == sorted(SE.search_totals(docs, q).collect())
+    one = SI.index_hits(spark, root, "agulha")
+    # Only the place that holds the candidate is read, of the 16 there are.
+    assert one.count() == 1
+    assert re.search(r"PartitionFilters: \[[^]]*place#\d+ = \d+", one._jdf.queryExecution().toString())
