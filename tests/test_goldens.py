@@ -282,3 +282,48 @@ def test_search_by_index_equals_search(spark, tmp_path):
     # Only the place that holds the candidate is read, of the 16 there are.
     assert one.count() == 1
     assert re.search(r"PartitionFilters: \[[^]]*place#\d+ = \d+", one._jdf.queryExecution().toString())
+
+
+def _bids(spark, rows):
+    return spark.createDataFrame(rows, "licitacaoId string, itemLote string, participante string, proposta long, winner boolean").withColumn(
+        "proposta", F.col("proposta").cast("decimal(18,6)"))
+
+
+def test_cover_pairs_equal_all_pairs_for_any_number_of_repeats(spark):  # with crowded lots and without
+    dice = random.Random(5)
+    rows = []
+    for lot_no in range(60):
+        crowd = dice.choice([2, 3, 5, 40])
+        for c in dice.sample(range(60), crowd):
+            rows.append((f"L{lot_no // 2}", str(lot_no % 2), f"{c:014d}", dice.choice([0, 100, 140, 150, 400, 900]), dice.random() < 0.2))
+    rows += [(None, "1", f"{c:014d}", 100 + c, False) for c in range(5)] + rows[:20] + [("L1", "0", f"{c:014d}", None, False) for c in range(3)]
+    lots = {}
+    for event, item, who, price, won in rows:
+        if price and event:
+            old = lots.setdefault((event, item), {}).get(who, (price, won))
+            lots[event, item][who] = (min(price, old[0]), won or old[1])
+    for repeats in (1, 2, 4, 5):
+        found = {}
+        for event, bids in sorted(lots.items()):
+            for a in bids:
+                for b in bids:
+                    if a < b:
+                        high, low = (a, b) if bids[a][0] >= bids[b][0] else (b, a)
+                        if bids[high][0] / bids[low][0] >= 1.5 and not bids[high][1]:
+                            found.setdefault((a, b), []).append((event, high))
+        wanted = {(*pair, len(seen), seen[0][1], seen[0][0]) for pair, seen in found.items()
+                  if len(seen) >= repeats and len({h for _, h in seen}) == 1}
+        got = SC.cover_pairs(_bids(spark, rows), repeats, block=7, crowd=5 if repeats < 5 else 100).collect()
+        assert {(r.leftCnpj, r.rightCnpj, r.n, r.high, tuple(r["first"])) for r in got} == wanted and len(got) == len(wanted) > 0
+
+
+def test_crowded_lots_form_no_pairs_of_companies_that_meet_elsewhere(spark):
+    # 400 companies share one crowded lot; each two of them also meet in a lot of their own.
+    rows = [("BIG", "1", f"{c:014d}", 100 + 100 * (c % 2), False) for c in range(400)]
+    rows += [(f"S{c // 2}", "1", f"{c:014d}", 100 + 100 * (c % 2), False) for c in range(400)]
+    bids = _bids(spark, rows)
+    crowds = bids.withColumn("crowd", F.when(F.col("licitacaoId") == "BIG", 400).otherwise(2))
+    assert SC.late_bids(crowds, 2, 100).select("licitacaoId").distinct().collect() == [("BIG",)]
+    assert SC.late_bids(crowds, 2, 100).count() == 400 and SC.late_bids(crowds, 2, 400).isEmpty()
+    got = SC.cover_pairs(bids, crowd=100).collect()
+    assert {(r.leftCnpj, r.rightCnpj, r.n) for r in got} == {(f"{c:014d}", f"{c + 1:014d}", 2) for c in range(0, 400, 2)}
