@@ -10,8 +10,11 @@
    towards the last label, and that towards all rows: grouped sums again, so a
    host of one row leans on its parents and a large one on itself.
 
-The text model learns from at most ``SAMPLE`` labelled rows of each language,
-chosen by hash of the id; everything else covers all rows.
+The text model learns from about ``SAMPLE`` labelled rows of each language,
+chosen by hash of the id; everything else covers all rows.  With more than
+``LANGUAGES`` labelled languages, the most frequent ones are classes of their
+own and all others together are one, ``OTHER``, learned and answered like a
+language (and one with a language of that very name).
 
 Cases: null and empty texts rest on the other evidence; absent values of any
 evidence say nothing; without labelled rows every language is null; rows with
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 
 from lisura.llm.common import ascii_lower, checkpoint, text_batches
 
-#: Hashed trigrams; labelled rows of each language (about); languages of the model, most frequent first.
-BUCKETS, SAMPLE, LANGUAGES = 1 << 15, 2_000, 64
+#: Hashed trigrams; labelled rows of each language (about); classes of the model, and the name of the class of all languages beyond.
+BUCKETS, SAMPLE, LANGUAGES, OTHER = 1 << 15, 2_000, 64, "other"
 #: Trigrams that count as independent evidence; rows that a parent's share weighs; smoothing of values.
 EVIDENCE, PARENT, SMOOTH = 60.0, 8.0, 1.0
 
@@ -48,13 +51,19 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log-probability of each trigram in each, from rows (id, text, lang)."""
     rows = labelled.where(F.col("lang").isNotNull()).select(
         "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.xxhash64("id").alias("order"))
-    top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in top)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    top = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()}
+    if len(top) > LANGUAGES:
+        top = dict(list(top.items())[: LANGUAGES - 1])
+        rest = counts.where(~F.col("lang").isin(*top)).agg(F.sum("n").alias("n")).first()["n"]
+        rows = rows.withColumn("lang", F.when(F.col("lang").isin(*top), F.col("lang")).otherwise(F.lit(OTHER)))
+        top[OTHER] = top.get(OTHER, 0) + rest
+    languages = sorted(top)
     # Drawn by a hash and the counts, so that no text moves before it is drawn.
     draw = F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53))
     part = F.lit(0.0)
-    for r in top:
-        part = F.when(F.col("lang") == r["lang"], min(1.0, SAMPLE / r["n"])).otherwise(part)
+    for lang, n in top.items():
+        part = F.when(F.col("lang") == lang, min(1.0, SAMPLE / n)).otherwise(part)
     some = rows.where(draw < part)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

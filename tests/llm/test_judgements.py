@@ -81,6 +81,29 @@ def test_language(spark):
     assert language.identify(df, *none, ["id"]).where("language is not null").count() == 0
 
 
+def test_languages_beyond_the_classes_are_one_class(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    rng = random.Random(4)
+    alphabets = {"en": "abcde", "de": "fghij", "fr": "klmno", "it": "pqrst", "other": "uvwxy", "se": "01234"}
+
+    def text(lang):
+        return " ".join("".join(rng.choices(alphabets[lang], k=4)) for _ in range(20))
+
+    counts = {"en": 30, "de": 20, "fr": 20, "it": 10, "other": 10, "se": 1}
+    taught = [(lang, text(lang)) for lang, n in counts.items() for _ in range(n)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(taught)], "id long, text string, lang string")
+    model = language.train(df)
+    # Two of equal frequency: the name decides which is a class of its own.
+    assert model[0] == ["de", "en", "other"]
+    asked = spark.createDataFrame([(lang, text(lang), None, None, None) for lang in counts for _ in range(5)],
+                                  "id string, text string, declared string, address string, host string")
+    got = language.identify(asked, *model, ["id"]).collect()
+    assert len(got) == 30 and all(r.language == r.by_text == (r.id if r.id in ("en", "de") else "other") for r in got)
+    # As many languages as classes: each is its own.
+    assert language.train(df.where("lang in ('fr', 'it', 'se')"))[0] == ["fr", "it", "se"]
+    assert language.train(df.where("lang in ('en', 'it', 'other', 'se')"))[0] == ["en", "it", "other"]
+
+
 def test_long_texts_are_read_whole():
     assert len(language.trigrams(LONG.encode())) == len(LONG)
     assert len(language.trigrams(b"")) == 0
