@@ -7,7 +7,8 @@ shards whose row counts differ by one at most (law ``rows``).
 
 No window sees a whole source or the whole table: rows are counted per range
 of the shuffle key (or of the fractional rank), ranges are summed up in small
-tables, and rows are numbered inside their range only.
+tables, and rows are numbered inside their range only.  The number of ranges
+follows the number of rows; no result depends on it.
 
 Cases: a null source is a source of its own; a null text has size 16 and the
 checksum of no bytes; repeated rows are placed one by one, ordered by id and
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lisura.llm.common import checkpoint
+from lisura.llm.common import checkpoint, share
 
-#: Ranges of the shuffle key and of the fractional rank; a range is numbered in one task.
-RANGES = 2_048
+#: Rows of a range of the shuffle key or of the fractional rank, about; a range is numbered in one task.  Ranges at least.
+RANGE_ROWS, RANGES = 50_000, 2_048
 
 
 def _unit(*parts: Column) -> Column:
@@ -37,7 +38,7 @@ def _before(counts: DataFrame, keys: list[str], by: str) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
 
-def interleave(docs: DataFrame, shards: int, seed: int = 17, ranges: int = RANGES) -> DataFrame:
+def interleave(docs: DataFrame, shards: int, seed: int = 17, ranges: int | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, source, fraction, shard, slot."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -46,8 +47,9 @@ def interleave(docs: DataFrame, shards: int, seed: int = 17, ranges: int = RANGE
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.col("source").cast("string").alias("source"),
     ).withColumn("order", _unit(F.lit(seed), F.col("doc_id"), F.col("text_crc32")))
-    rows = rows.withColumn("range", F.floor(F.col("order") * ranges).cast("int"))
     rows = checkpoint(rows)
+    ranges = ranges or max(RANGES, -(-rows.count() // RANGE_ROWS))
+    rows = rows.withColumn("range", F.floor(F.col("order") * ranges).cast("int"))
     # The group key stands for null too, so that plain equality joins work.
     group = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
     rows = rows.withColumn("group", group)
@@ -63,13 +65,14 @@ def interleave(docs: DataFrame, shards: int, seed: int = 17, ranges: int = RANGE
         .select("doc_id", "size", "text_crc32", "source", "group", "order", "fraction", "slice")
     )
     ranked = checkpoint(ranked)
-    # One row per slice, of a number that is fixed: a single small window sums them up.
+    # One row per slice, that is per so many thousand rows: a single window sums them up.
     slices = ranked.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0))
     slices = _before(slices, ["all"], "slice").withColumn("rows", F.sum("n").over(W.partitionBy("all")))
+    slices = checkpoint(slices.select("slice", "before", "rows"))
     inside = W.partitionBy("slice").orderBy("fraction", "group", "order", "doc_id", "text_crc32", "size")
     placed = (
         ranked.withColumn("at", F.row_number().over(inside) - 1)
-        .join(F.broadcast(slices.select("slice", "before", "rows")), "slice")
+        .join(share(slices), "slice")
         .withColumn("place", F.col("before") + F.col("at"))
         # Shard s holds the places from ceil(s * rows / shards) on.
         .withColumn("shard", F.expr(f"place * {shards} div rows").cast("int"))

@@ -164,6 +164,33 @@ def test_sharding(spark, ranges):
     assert sharding.interleave(docs.limit(0), 9).count() == 0
 
 
+def test_interleave_equals_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGES", 1)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 10)
+    rows = [(i, "x" * (i % 7), "big" if i % 3 else f"s{i % 5}") for i in range(400)] + [(7, "é", None)] * 3 + [(None, None, "s1"), (3, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    group = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    hashed = docs.select("*", crc.alias("crc"), group.alias("group"), sharding._unit(F.lit(17), F.col("doc_id"), crc).alias("order"),
+                         sharding._unit(F.lit(17), group).alias("offset")).collect()
+    groups = defaultdict(list)
+    for r in hashed:
+        size = len((r.text or "").encode()) + 16
+        groups[r.group].append(((r.order, r.doc_id is not None, r.doc_id or 0, r.crc, size), r))
+    line = []
+    for name, members in groups.items():
+        members.sort(key=lambda m: m[0])
+        line += [((rank + r.offset) / len(members), name, *key, r) for rank, (key, r) in enumerate(members)]
+    line.sort(key=lambda x: x[:-1])
+    n, wanted, filled = len(line), [], Counter()
+    for place, (*_, size, r) in enumerate(line):
+        shard = place * 9 // n
+        wanted.append((r.doc_id, size, r.crc, r.source, shard, filled[shard]))
+        filled[shard] += 1
+    got = sharding.interleave(docs.repartition(4), 9).select("doc_id", "size", "text_crc32", "source", "shard", "slot").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
+
+
 def words(text):
     return (text or "").encode().lower().split()
 
