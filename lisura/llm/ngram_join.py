@@ -6,12 +6,13 @@ below, in at most as many bits) as their sets differ in shingles, D.  So at
 least B - D words are equal, and of any fixed order of (word index, word value)
 the first D + 1 entries of both documents must share one.  Words of many
 shingles come first: they are rare, and empty words hardly ever count.  B is
-fixed for a size band (a power of two of the set size), which makes words
+fixed for a size band (a power of four of the set size), which makes words
 comparable; a document that may be the smaller partner of the next band is
 entered there too.
 
 Documents with equal sets form one class, and only classes are joined.
-Classes that share an entry are candidates.  A group of near copies shares
+Classes that share an entry are candidates.  Near copies share many entries, so
+entries that the same classes have are made one.  A group of near copies shares
 entries with everyone, so pairs are not listed: each entry's members are
 compared with the member that occurs in most shared entries (the hub) and
 connected classes are merged.  This is repeated with other hubs, ``STARS`` times
@@ -49,6 +50,8 @@ from lisura.llm.common import checkpoint, share, text_batches, word_list
 PAIRS, STARS = 10, 2
 #: One class of so many is drawn to find frequent entries: those that so many drawn classes have, so many of them at most.
 SAMPLE, OFTEN, FREQUENT = 64, 50, 10_000
+#: A size band ends at ``2 ** BAND`` times its beginning: wide bands have few documents near their ends, which are entered twice.
+BAND = 2
 #: Words of the sketch that filters pairs, 64 bits each.
 FILTER_WORDS = 16
 #: Members of one entry that meet in one task.
@@ -113,14 +116,14 @@ def entries(shingles: np.ndarray, percent: int) -> np.ndarray:
     # Sets this small can only be linked with an equal set, which is the same class.
     if n * (100 - percent) // percent == 0:
         return np.empty(0, np.int64)
-    band = n.bit_length() - 1
+    band = (n.bit_length() - 1) // BAND
     for k in (band, band + 1):
-        low, high = 2**k, 2 ** (k + 1) - 1
+        low, high = 2 ** (BAND * k), 2 ** (BAND * (k + 1)) - 1
         if 100 * n < percent * low:  # too small for a partner in this band
             continue
         most = 2 * high * (100 - percent) // (100 + percent)
-        differ = min(n * (100 - percent) // percent, most)
-        blocks = (3 * (most + 1) + 1) // 2
+        differ = min(n * (100 - percent) // percent, (n + high) * (100 - percent) // (100 + percent))
+        blocks = (5 * (most + 1) + 3) // 4
         value, count = xor_words(shingles, blocks)
         key = _stir(value + _stir(np.arange(blocks, dtype=np.uint64) * np.uint64(128) + np.uint64(k)))
         first = np.lexsort((key, -count))[: differ + 1]
@@ -266,7 +269,9 @@ class _Join:
 
         Entries move once.  Those that a fixed share of a sample of classes
         has are shared for certain; they are few and do not move at all, so no
-        task gets the members of a frequent entry.
+        task gets the members of a frequent entry.  The others are then named
+        by a hash of their members: those that the same classes have become
+        one, and entries that a hash confuses only share more members.
         """
         listed = self.rows.select("class_id", F.explode("entries").alias("entry"))
         drawn = listed.where(F.pmod(F.xxhash64("class_id"), F.lit(SAMPLE)) == 0)
@@ -275,15 +280,16 @@ class _Join:
         often = F.broadcast(checkpoint(often.select("entry")))
         group = W.partitionBy("entry")
         rare = listed.join(often, "entry", "left_anti").withColumns({"low": F.min("class_id").over(group), "high": F.max("class_id").over(group)})
-        rare = rare.where(F.col("low") < F.col("high")).select("entry", "class_id")
         # A class is listed once by each task that met it.
+        rare = rare.where(F.col("low") < F.col("high")).select("entry", "class_id", "low", "high").distinct()
+        rare = rare.withColumns({"n": F.count(F.lit(1)).over(group), "all": F.bit_xor(F.xxhash64("class_id")).over(group)})
+        rare = rare.select(F.xxhash64("low", "high", "n", "all").alias("entry"), "class_id")
         return checkpoint(rare.distinct().unionByName(listed.join(often, "entry", "left_semi").select("entry", "class_id").distinct()))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
-        wide = self.wide.withColumnRenamed("n_shingles", "n")
-        x = wide.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("xa"))
-        y = wide.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("xb"))
+        x = self.sketched.select(F.col("class_id").alias("a"), F.col("n_shingles").alias("na"), F.col("wide").alias("xa"))
+        y = self.sketched.select(F.col("class_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("wide").alias("xb"))
         near = F.col("xa").isNull() | F.col("xb").isNull() | (
             _apart(F.col("xa"), F.col("xb")) <= _bound(F.col("na"), F.col("nb"), self.percent))
         pairs = checkpoint(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
@@ -302,10 +308,9 @@ class _Join:
         members = self.members()
         inside = members.select("class_id").distinct()
         sketched = self.classes.join(inside, "class_id", "left_semi").select(
-            "class_id", "doc_id", "n_shingles", *[F.col("sketch")[i].alias(f"s{i}") for i in range(FILTER_WORDS)]
+            "class_id", "doc_id", "n_shingles", "wide", *[F.col("sketch")[i].alias(f"s{i}") for i in range(FILTER_WORDS)]
         )
         self.sketched = checkpoint(sketched)
-        self.wide = self.classes.select("class_id", "n_shingles", "wide")
         # How many neighbours a class has over all its entries: copies of one text all share with that text.
         sizes = members.groupBy("entry").agg(F.count(F.lit(1)).alias("size"))
         weight = members.join(sizes, "entry").groupBy("class_id").agg(F.sum("size").alias("weight"))
@@ -341,7 +346,7 @@ class _Join:
         return roots
 
     def _sketches(self, name: str) -> DataFrame:
-        return self.sketched.drop("doc_id").withColumnRenamed("class_id", name)
+        return self.sketched.drop("doc_id", "wide").withColumnRenamed("class_id", name)
 
     def star(self, members: DataFrame, turn: int) -> DataFrame:
         """Pairs of each entry's hub with its members in other components."""

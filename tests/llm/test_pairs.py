@@ -88,6 +88,41 @@ def test_ngram_join_rounds(docs_of, monkeypatch):
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
 
 
+def test_entries_with_the_same_members_are_one(docs_of):
+    """Pairs of near copies share dozens of entries each, and are listed under few."""
+    rng = random.Random(11)
+    rows = list(enumerate((t for _ in range(20) for t in _family(rng, 2, 150, 3)), 1))
+    join = ngram_join._Join(docs_of(rows).repartition(3), 4, 85)
+    listed = join.members().collect()
+    assert len(listed) <= 2 * 20
+    # Every class that shares an entry with another is still there, with that one.
+    plain, told = {}, {}
+    for r in join.rows.where("entries is not null").collect():
+        for e in r["entries"]:
+            plain.setdefault(e, set()).add(r["class_id"])
+    for r in listed:
+        told.setdefault(r["entry"], set()).add(r["class_id"])
+    assert {frozenset(m) for m in plain.values() if len(m) > 1} == {frozenset(m) for m in told.values()}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_entries_are_shared_across_band_borders(percent):
+    """Sets at the limit share an entry, on both sides of a border; inside a band no set is entered twice."""
+    rng = np.random.default_rng(percent)
+    for n in (5, 7, 15, 16, 17, 62, 64, 70, 250, 256, 300, 1020, 1024, 1100, 4000, 4200):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        spare = rng.integers(0, 2**63, n).astype(np.uint64)
+        for _ in range(20):
+            changed = rng.integers(0, n * (100 - percent) // 100 + 1)
+            kept = rng.permutation(a)[changed:]
+            b = np.unique(np.append(kept, spare[: rng.integers(0, n * 100 // percent - n + 1)]))
+            if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) and len(np.setxor1d(a, b)):
+                assert set(ngram_join.entries(a, percent)) & set(ngram_join.entries(b, percent)), (n, len(b))
+    for n in (20, 30, 60 * percent // 100, 70, 120, 200, 500, 800):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        assert len(ngram_join.entries(a, percent)) <= n * (100 - percent) // percent + 1
+
+
 def test_ngram_join_empty(docs_of):
     assert ngram_join.near_copies(docs_of([])).count() == 0
 
