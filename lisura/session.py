@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # State on the executors' disks, not in their heaps; list state and timers need it.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Shuffle files go when their query has ended, not when the driver happens to collect its garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
@@ -75,6 +77,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows as written to a folder, a new one below the shared one if none is given, in compressed columns.  Runs a job.
+
+    Like ``cut_lineage`` for many or wide rows: a checkpoint takes several times
+    the disk, and later steps read all of its columns.
+    """
+    folder = folder or new_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A broadcast hint for a checkpointed frame of at most ``rows`` narrow rows; else the frame, to be shuffled.
 

@@ -5,6 +5,9 @@ with its first key, its folder and its rows; ranges that an upsert does not touc
 the folder of an earlier version.  Data is written first and the list last, as
 one file, so a lost job leaves the older version as it was and can be rerun.
 One writer per table at a time.
+
+Ranges are listed on the driver and have a file each, so their number is
+bounded: beyond it they get longer, whatever length was asked for.
 """
 
 from __future__ import annotations
@@ -17,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from lisura.session import cut_lineage
+from lisura.session import stored
 
 MANIFEST = "version long, low string, folder string, rows long, schema string"
 #: Rows of a range, about; a range is cut once it has twice as many.
 RANGE_ROWS = 1_000_000
+#: Ranges of a table, about; a table of more rows than these hold has longer ones.
+MOST_RANGES = 1_000
 
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
@@ -78,23 +83,30 @@ def _cuts(placed: DataFrame, counts: dict[int, int], range_rows: int) -> dict[in
 def _write(rows: DataFrame, keys: list[str], root: str, name: str, version: int, lows: list[str], kept: list[Row], range_rows: int) -> None:
     """Write ``rows``, which lie in the ranges that begin at ``lows``, and list them with ``kept`` as the next version."""
     spark = rows.sparkSession
-    keyed = cut_lineage(rows.withColumn("_key", key_text(keys)))
-    placed = keyed.withColumn("_range", range_of(F.col("_key"), lows))
+    key = key_text(keys)
+    placed = stored(rows.withColumn("_key", key).withColumn("_range", range_of(F.col("_key"), lows)), f"{root}/{name}/_merged")
     counts = {r["_range"]: r["n"] for r in placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cuts = _cuts(placed, counts, range_rows)
+    total = sum(counts.values()) + sum(r["rows"] for r in kept)
+    cuts = _cuts(placed, counts, max(range_rows, -(-total // MOST_RANGES)))
     if cuts:
         lows = sorted({*lows, *(low for more in cuts.values() for low in more)})
-        placed = keyed.withColumn("_range", range_of(F.col("_key"), lows))
+        placed = placed.withColumn("_range", range_of(F.col("_key"), lows))
         counts = {r["_range"]: r["n"] for r in placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
     folder = f"{root}/{name}/v={version}"
     placed.repartition("_range").sortWithinPartitions("_range", "_key").drop("_key").write.mode("overwrite").option(
         "compression", "zstd").partitionBy("_range").parquet(folder)
+    _emptied(placed, f"{root}/{name}/_merged")
     schema = rows.schema.json()
     listed = [(version, r["low"], r["folder"], r["rows"], schema) for r in kept]
     listed += [(version, lows[r], f"{folder}/_range={r}", n, schema) for r, n in sorted(counts.items())]
     spark.createDataFrame(listed, MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/{name}/_manifest")
 
 
+def _emptied(rows: DataFrame, folder: str) -> None:
+    """Leave no rows in a folder that only a step between needed."""
+    rows.sparkSession.createDataFrame([], rows.schema).write.mode("overwrite").parquet(folder)
+
+
 def write_table(df: DataFrame, root: str, name: str, keys: list[str], range_rows: int = RANGE_ROWS) -> DataFrame | None:
     """Replace the whole table by the next version and return it; the old one stays readable meanwhile."""
     spark = df.sparkSession
@@ -116,7 +128,7 @@ def upsert_table(
     if not listed:
         _write(merge(None, incoming), keys, root, name, 1, [""], [], range_rows)
         return read_table(spark, root, name)
-    incoming = cut_lineage(incoming)
+    incoming = stored(incoming, f"{root}/{name}/_incoming")
     number = range_of(key_text(keys), [r["low"] for r in listed])
     hit = {r[0] for r in incoming.select(number.alias("_range")).distinct().collect()}
     if hit:
@@ -124,4 +136,5 @@ def upsert_table(
         kept = [r for i, r in enumerate(listed) if i not in hit]
         merged = merge(_read(spark, touched), incoming)
         _write(merged, keys, root, name, listed[0]["version"] + 1, [r["low"] for r in touched], kept, range_rows)
+    _emptied(incoming, f"{root}/{name}/_incoming")
     return read_table(spark, root, name)

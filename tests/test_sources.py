@@ -167,6 +167,27 @@ def test_upserts_rewrite_touched_ranges_only(spark, tmp_path):
     assert grown.where("extra = 'x'").count() == 1 and grown.count() == got.count()
 
 
+def test_number_of_ranges_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(TB, "MOST_RANGES", 20, raising=False)
+    root, keys = str(tmp_path), ["k"]
+
+    def merge(old, new):
+        return new if old is None else old.join(new, keys, "left_anti").unionByName(new)
+
+    def rows(numbers, text):
+        return spark.createDataFrame([(f"{k:05d}", text) for k in numbers], "k string, t string")
+
+    TB.upsert_table(rows(range(0, 2000, 2), "a"), root, "t", keys, merge, range_rows=5)
+    assert 10 <= len(TB.ranges(spark, root, "t")) <= 40
+    got = TB.upsert_table(rows(range(0, 2000, 3), "b"), root, "t", keys, merge, range_rows=5)
+    listed = TB.ranges(spark, root, "t")
+    assert 10 <= len(listed) <= 40 and sum(r["rows"] for r in listed) == got.count()
+    assert {tuple(r) for r in got.collect()} == {
+        (f"{k:05d}", "a" if k % 3 else "b") for k in range(2000) if k % 2 == 0 or k % 3 == 0}
+    placed = got.withColumn("r", TB.range_of(TB.key_text(keys), [r["low"] for r in listed])).groupBy("r").count().collect()
+    assert {r["r"]: r["count"] for r in placed} == {i: r["rows"] for i, r in enumerate(listed)}
+
+
 def test_refreshed_tables(spark, tmp_path):
     root = str(tmp_path)
     TB.write_table(spark.range(3), root, "t", ["id"])
