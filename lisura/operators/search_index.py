@@ -1,16 +1,20 @@
 """Folded substring search by an index of trigrams, for tables that are searched again and again.
 
 Documents are written in places: ranges of (kind, folded text, id), in which
-``slot`` counts up in that order.  Postings say which slots hold a trigram, and
-are written in parts: ranges of (trigram, slot), so a frequent trigram fills
-several parts and no task holds all of it.  A directory has one row per
-trigram and part.
+``slot`` counts up in that order.  Postings say which slots hold a trigram.
+They lie in the place of their documents, by trigram and slot, and are written
+in parts, so a frequent trigram fills several parts and no task holds all of
+it; the task that reads documents writes their postings, which are not dealt
+out.  A directory has one row per trigram and place.
 
-A query looks up its trigrams there, intersects the slots of the rarest ones,
-and reads and verifies only the places that hold a candidate.  Pages are found
-by counting hits per place, so only the places of the page are ranked.  Hits
-are those of ``search``; queries of one or two characters have no trigram and
-read all documents.
+Places are listed on the driver and have files of their own, so their number
+is bounded: beyond it they get longer, whatever length was asked for.
+
+A query looks up its trigrams in the directory, intersects the slots of the
+rarest ones in the places that have all of these, and reads and verifies only
+the places that hold a candidate.  Pages are found by counting hits per place,
+so only the places of the page are ranked.  Hits are those of ``search``;
+queries of one or two characters have no trigram and read all documents.
 
 The folder is listed last, so a lost job leaves the older index in use.
 """
@@ -26,14 +30,16 @@ from pyspark.sql.utils import AnalysisException
 
 from lisura.functions import text as X
 from lisura.operators.search import totals_of
-from lisura.session import cut_lineage, if_small
+from lisura.session import cut_lineage, if_small, stored
 
 DOCUMENTS = "id string, kind string, entityId string, text string, folded string, slot long, place int"
-POSTINGS = "gram string, slot long, place int, part int"
-DIRECTORY = "gram string, part int, n long"
+POSTINGS = "gram string, slot long, place int"
+DIRECTORY = "gram string, place int, n long"
 LISTED = "version long, folder string"
-#: Documents of a place, postings of a part, about.
+#: Documents of a place, about; postings of a part, at most (or ten for each document of a place, if that is more).
 PLACE_ROWS, PART_ROWS = 500_000, 5_000_000
+#: Places of an index, about.
+MOST_PLACES = 1_000
 #: Trigrams of a query whose slots are intersected: the rarest.
 RAREST = 3
 
@@ -42,24 +48,23 @@ def write_index(docs: DataFrame, root: str, place_rows: int = PLACE_ROWS, part_r
     """Index ``docs`` (see ``search_documents``) as the next version below ``root``."""
     spark, folder = docs.sparkSession, f"{root}/{uuid.uuid4()}"
     order = ["kind", "folded", "id"]
-    rows = cut_lineage(docs.select("id", "kind", "entityId", "text", X.fold("text").alias("folded")))
-    places = max(1, -(-rows.count() // place_rows))
+    rows = stored(docs.select("id", "kind", "entityId", "text", X.fold("text").alias("folded")), f"{folder}/unsorted")
+    n = rows.count()
+    places = max(1, min(MOST_PLACES, -(-n // place_rows)))
     (
         rows.repartitionByRange(places, *order).sortWithinPartitions(*order)
         .withColumn("slot", F.monotonically_increasing_id()).withColumn("place", F.spark_partition_id())
         .write.partitionBy("place").parquet(f"{folder}/documents")
     )
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{folder}/unsorted")
     written = spark.read.schema(DOCUMENTS).parquet(f"{folder}/documents")
-    most = written.agg(F.coalesce(F.sum(F.greatest(F.char_length("folded") - 2, F.lit(0))), F.lit(0))).first()[0]
     grams = F.array_distinct(F.regexp_extract_all("folded", F.lit("(?s)(?=(...))"), F.lit(1)))
     (
-        written.select(F.explode(grams).alias("gram"), "slot", "place")
-        .repartitionByRange(max(1, -(-most // part_rows)), "gram", "slot").sortWithinPartitions("gram", "slot")
-        .withColumn("part", F.spark_partition_id())
-        .write.partitionBy("part").parquet(f"{folder}/postings")
+        written.select(F.explode(grams).alias("gram"), "slot", "place").sortWithinPartitions("place", "gram", "slot")
+        .write.option("maxRecordsPerFile", max(part_rows, 10 * (n // places))).partitionBy("place").parquet(f"{folder}/postings")
     )
     postings = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
-    directory = postings.groupBy("gram", "part").agg(F.count(F.lit(1)).alias("n"))
+    directory = postings.groupBy("gram", "place").agg(F.count(F.lit(1)).alias("n"))
     directory.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{folder}/directory")
     version = len(_listed(spark, root)) + 1
     spark.createDataFrame([(version, folder)], LISTED).coalesce(1).write.mode("append").parquet(f"{root}/_listed")
@@ -88,17 +93,19 @@ def index_hits(spark: SparkSession, root: str, q: str | None) -> DataFrame:
     matching = docs.where(F.contains("folded", F.lit(folded)))
     if not wanted:
         return matching
-    # One small row per trigram of the query and part.
-    found = spark.read.schema(DIRECTORY).parquet(f"{folder}/directory").where(F.col("gram").isin(*wanted)).collect()
-    counts: dict[str, int] = {}
-    for r in found:
-        counts[r["gram"]] = counts.get(r["gram"], 0) + r["n"]
+    directory = spark.read.schema(DIRECTORY).parquet(f"{folder}/directory")
+    # One small row per trigram of the query.
+    found = directory.where(F.col("gram").isin(*wanted)).groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    counts = {r["gram"]: r["n"] for r in found}
     if len(counts) < len(wanted):
         return nothing
     rarest = sorted(counts, key=lambda g: (counts[g], g))[:RAREST]
-    parts = sorted({r["part"] for r in found if r["gram"] in rarest})
+    full = directory.where(F.col("gram").isin(*rarest)).groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rarest))
+    places = [r["place"] for r in full.collect()]
+    if not places:
+        return nothing
     postings = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
-    slots = postings.where(F.col("part").isin(*parts) & F.col("gram").isin(*rarest)).groupBy("slot", "place").agg(F.count(F.lit(1)).alias("n"))
+    slots = postings.where(F.col("place").isin(*places) & F.col("gram").isin(*rarest)).groupBy("slot", "place").agg(F.count(F.lit(1)).alias("n"))
     slots = cut_lineage(slots.where(F.col("n") == len(rarest)).select("slot", "place"))
     places = [r["place"] for r in slots.select("place").distinct().collect()]
     if not places:

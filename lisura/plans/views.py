@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lisura.session import if_small
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -158,6 +160,21 @@ select cast(o_orderkey as string) as row_id,
 from {orders}""",
 }
 
+#: Joins that Spark makes in another order, of the same rows: buyers go to their orders before the many lines meet them,
+#: so lines are dealt out once for their order and once for their part.
+SPARK_JOINS = {
+    "v_item": ("""
+from {lineitem} join {orders} on l_orderkey = o_orderkey
+  join {part} on l_partkey = p_partkey
+  join {customer} on o_custkey = c_custkey
+  join {nation} on c_nationkey = n_nationkey
+  join {supplier}""", """
+from {lineitem} join ({orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey) on l_orderkey = o_orderkey
+  join {part} on l_partkey = p_partkey
+  join {supplier}"""),
+}
+#: Rows of suppliers, two short columns, up to which every task gets all of them.
+FEW_SUPPLIERS = 500_000
 
 NAME = r"{([a-z]\w+)}"
 
@@ -199,6 +216,12 @@ class Views:
                 self._made[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
             else:
                 # Double quotes mark identifiers in the shared text; Spark writes them as backticks.
-                sql = VIEWS[name].replace('"', "`")
-                self._made[name] = self._spark.sql(sql, **{n: getattr(self, n) for n in _uses(sql)})
+                sql = VIEWS[name].replace(*SPARK_JOINS.get(name, ("", ""))).replace('"', "`")
+                frames = {n: getattr(self, n) for n in _uses(sql)}
+                if name == "v_item":
+                    frames["supplier"] = if_small(frames["supplier"].select("s_suppkey", "s_name"), FEW_SUPPLIERS)
+                if name == "v_bid":
+                    # Grouping, join and ranking all find the lines of an order together.
+                    frames["lineitem"] = frames["lineitem"].select("l_orderkey", "l_suppkey", "l_extendedprice").repartition("l_orderkey")
+                self._made[name] = self._spark.sql(sql, **frames)
         return self._made[name]

@@ -284,6 +284,22 @@ def test_search_by_index_equals_search(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^]]*place#\d+ = \d+", one._jdf.queryExecution().toString())
 
 
+def test_number_of_places_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SI, "MOST_PLACES", 5, raising=False)
+    rows = [(f"item_{i}", "item", str(i), f"caneta {i % 90} azul") for i in range(400)]
+    docs = spark.createDataFrame(rows, "id string, kind string, entityId string, text string")
+    root = str(tmp_path / "index")
+    SI.write_index(docs, root, place_rows=2, part_rows=50)
+    folder = SI._listed(spark, root)[-1]
+    for name in ("documents", "postings"):
+        assert spark.read.parquet(f"{folder}/{name}").select("place").distinct().count() <= 5, name
+    for q in ("caneta", "77 azul", "9 a", "zul 1"):
+        for skip, take in ((0, 5), (110, 300)):
+            want = sorted(map(tuple, SE.search(docs, q, skip, take).select("id", "rank").collect()))
+            assert sorted(map(tuple, SI.index_page(spark, root, q, skip, take).select("id", "rank").collect())) == want, (q, skip)
+        assert sorted(SI.index_totals(spark, root, q).collect()) == sorted(SE.search_totals(docs, q).collect())
+
+
 def _bids(spark, rows):
     return spark.createDataFrame(rows, "licitacaoId string, itemLote string, participante string, proposta long, winner boolean").withColumn(
         "proposta", F.col("proposta").cast("decimal(18,6)"))
