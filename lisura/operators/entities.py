@@ -113,6 +113,12 @@ def item_facts(items: DataFrame) -> DataFrame:
     )
 
 
+#: Columns that ``item_facts`` reads, besides those of an item fact's key and order.
+FACT_COLUMNS = (
+    "fornecedor_cnpj orgao_cnpj valor_por_unidade_canonica descricao catmat catser quantidade unidade_medida unidade_canonica valor_unitario"
+    " valor_total spec_concentracao spec_dosagem spec_tamanho methodology_version source publicado_em").split()
+
+
 def latest_facts(facts: DataFrame, inserted: str) -> DataFrame:
     """One fact per (uf, quarter, item_id): the last inserted."""
     return keep_latest(facts, ["uf", "quarter", "item_id"], [inserted, "snapshot_id", "record_hash"])
@@ -129,10 +135,13 @@ def latest_item_facts(items: DataFrame, inserted: str) -> DataFrame:
         "_uf": F.coalesce(X.blank_to_null(column(items, "uf_item")), _or_empty(items, "uf")), "_quarter": _or_empty(items, "quarter"),
         "_pncp": _or_empty(items, "pncp_id"), "_record": _or_empty(items, "record_id"),
     }
-    order = [F.col(inserted), _or_empty(items, "snapshot_id"), _or_empty(items, "record_hash")]
-    best = items.withColumns(key).groupBy(*key).agg(
-        F.max_by(F.struct(*[F.col(f"`{c}`") for c in items.columns]), F.struct(*order)).alias("_row"))
-    return item_facts(best.select("_row.*"))
+    order = [
+        F.col(inserted).alias("_at"), _or_empty(items, "snapshot_id").alias("snapshot_id"), _or_empty(items, "record_hash").alias("record_hash")]
+    # Only what a fact is made of goes through the shuffle, once; the key has the other columns, as they are read.
+    kept = [F.col(c) for c in FACT_COLUMNS if c in items.columns]
+    best = items.withColumns(key).groupBy(*key).agg(F.max(F.struct(*order, *kept)).alias("_row"))
+    named = [F.col(f"_{c}").alias(full) for c, full in (("uf", "uf"), ("quarter", "quarter"), ("pncp", "pncp_id"), ("record", "record_id"))]
+    return item_facts(best.select(*named, "_row.*"))
 
 
 def new_items(items: DataFrame, written: DataFrame) -> DataFrame:
@@ -143,14 +152,14 @@ def new_items(items: DataFrame, written: DataFrame) -> DataFrame:
 
 
 def record_items(items: DataFrame, seq: str | None = None) -> DataFrame:
-    """(record_id, itemId, snapshot, version), last wins per record."""
-    pncp, record = _or_empty(items, "pncp_id"), _or_empty(items, "record_id")
+    """(record_id, itemId, snapshot, version), last wins per record; ids are hashed for the rows that stay."""
     rows = items.select(
-        record.alias("record_id"), I.item_id(pncp, record).alias("itemId"),
+        _or_empty(items, "record_id").alias("record_id"), _or_empty(items, "pncp_id").alias("_pncp"),
         _or_empty(items, "snapshot_id").alias("_snap"), _or_empty(items, "methodology_version").alias("_meth"),
         _order(items, seq).alias("_o"),
     )
-    return keep_latest(rows, ["record_id"], ["_o"]).drop("_o")
+    return keep_latest(rows, ["record_id"], ["_o"]).select(
+        "record_id", I.item_id(F.col("_pncp"), F.col("record_id")).alias("itemId"), "_snap", "_meth")
 
 
 def flag_rows(flags: DataFrame, items: DataFrame, version: str | None = None, seq: str | None = None) -> DataFrame:

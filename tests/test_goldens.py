@@ -262,6 +262,19 @@ def test_facts_reduced_before_or_after_hashing_are_equal(spark):
     assert sorted(map(tuple, late.select(*keys).collect())) == sorted(map(tuple, early.select(*keys).collect()))
 
 
+def test_latest_facts_carry_only_what_they_use(spark):
+    from lisura.operators import entities as EN
+
+    rows = [("i1", "c1", " ", "SP", "2024-Q1", "5", "s1", 1, "z"), ("i1", "c1", "SP", "RJ", "2024-Q1", "6", "s2", 2, "z"),
+            ("i1", "c1", "RJ", "RJ", "2024-Q1", "7", "s3", 3, "z"), (None, " ", None, None, None, "8", None, 4, "z"), ("", "", None, "", "", "9", "s0", 5, "z")]
+    items = spark.createDataFrame(rows, "record_id string, pncp_id string, uf_item string, uf string, quarter string, valor_total string, snapshot_id string, seen int, other string").withColumn(
+        "valor_total", F.col("valor_total").cast("decimal(18,6)")).withColumns({c: F.lit(1).cast("decimal(18,6)") for c in ("quantidade", "valor_unitario")})
+    got = EN.latest_item_facts(items, "seen")
+    assert sorted(map(tuple, got.select("uf", "quarter", "pncp_id", "valor_total", "snapshot_id").collect())) == [
+        ("", "", "", 9.0, "s0"), ("RJ", "2024-Q1", "c1", 7.0, "s3"), ("SP", "2024-Q1", "c1", 6.0, "s2")]
+    assert "other" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_search_by_index_equals_search(spark, tmp_path):
     rng = random.Random(3)
     words = ["parafuso", "Ação", "BOLT", "ﬁltro", "caneta", "㎎", "x"]
